@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 def header_token(header: Column) -> Column:
     """Id of a FASTA header: first white-space token without ``>``; the third of three or more ``|`` parts; cut at the first ``/``.
 
-    Null for a null header and for one without any token (``>`` alone).
+    Empty where there is no token (``>`` alone), null for a null header.  Each
+    step uses the one before once, so the generated code stays small.
     """
-    bare = F.regexp_replace(F.regexp_replace(header, r"^\s+|\s+$", ""), r"^>", "")
-    token = F.regexp_extract(bare, r"(\S+)", 1)
-    parts = F.split(token, r"\|", -1)
-    kept = F.when(F.size(parts) >= 3, F.get(parts, F.lit(2))).otherwise(token)
-    cut = F.substring_index(kept, "/", 1)
-    return F.when(token != "", cut)
+    token = F.regexp_extract(header, r"^\s*>?\s*(\S+)", 1)
+    part = F.regexp_replace(token, r"^[^|]*\|[^|]*\|([^|]*).*$", "$1")
+    return F.regexp_replace(part, r"/.*$", "")
 
 
 def domain_of(id_col: Column) -> Column:
@@ -25,14 +23,13 @@ def domain_of(id_col: Column) -> Column:
     ``AF-`` domains lose their model number; of seven-character structure
     domains the first four characters count in lower case; the rest is kept.
     """
-    token = header_token(id_col)
-    structure = token.rlike(r"^[0-9][A-Za-z0-9]{3}[A-Za-z0-9][0-9]{2}$")
-    return (
-        F.when(token == "", None)
-        .when(token.startswith("AF-"), F.regexp_replace(token, r"model_v[0-9]+", "model_v"))
-        .when(structure, F.concat(F.lower(F.substring(token, 1, 4)), F.substring(token, 5, 3)))
-        .otherwise(token)
-    )
+    unnumbered = F.regexp_replace(header_token(id_col), r"^(AF-.*?model_v)[0-9]+", "$1")
+
+    def one(d: Column) -> Column:
+        structure = d.rlike(r"^[0-9][A-Za-z0-9]{3}[A-Za-z0-9][0-9]{2}$")
+        return F.when(structure, F.concat(F.lower(F.substring(d, 1, 4)), F.substring(d, 5, 3))).when(d != "", d)
+
+    return F.get(F.transform(F.array(unnumbered), one), F.lit(0))
 
 
 #: Spellings of each split, after removing everything but letters and lowering the case.
