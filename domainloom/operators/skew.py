@@ -32,7 +32,7 @@ def _number_in_partition(key: str, schema: T.StructType) -> Callable[[Iterator[p
             place = pd.Series(codes).groupby(codes).cumcount().to_numpy()
             uniques = [None if pd.isna(u) else u for u in uniques]
             start = np.array([seen.get(u, 0) for u in uniques], dtype=np.int64)
-            pdf["_place"] = place + start[codes] if len(codes) else place
+            pdf["_nr_place"] = place + start[codes] if len(codes) else place
             for u, n in zip(uniques, np.bincount(codes, minlength=len(uniques))):
                 seen[u] = seen.get(u, 0) + int(n)
             yield pdf[[f.name for f in schema]]
@@ -51,22 +51,22 @@ def number_rows(rows: DataFrame, key: str, out: str = "row_number") -> DataFrame
     Null keys are a key of their own; an empty input gives an empty result; a
     column named ``out`` is replaced.
     """
-    rows = rows.drop(out, "_part", "_place")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
+    rows = rows.drop(out, "_nr_part", "_nr_place")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_nr_part", T.IntegerType()), T.StructField("_nr_place", T.LongType())])
     placed = stage(
-        rows.withColumn("_part", F.spark_partition_id()).mapInPandas(
+        rows.withColumn("_nr_part", F.spark_partition_id()).mapInPandas(
             _number_in_partition(key, schema), schema
         )
     )
-    counts = stage(placed.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n")))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stage(placed.groupBy("_nr_part", key).agg(F.count(F.lit(1)).alias("_n")))
+    before = Window.partitionBy(key).orderBy("_nr_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col("_part").alias("_p"), F.col(key).alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        F.col("_nr_part").alias("_nr_p"), F.col(key).alias("_nr_key"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nr_offset")
     )
     if counts.count() <= BROADCAST_OFFSETS:
         offsets = F.broadcast(offsets)
-    joined = placed.join(offsets, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
-    return joined.withColumn(out, F.col("_place") + F.col("_offset")).drop("_p", "_k", "_offset", "_part", "_place")
+    joined = placed.join(offsets, (F.col("_nr_part") == F.col("_nr_p")) & F.col(key).eqNullSafe(F.col("_nr_key")))
+    return joined.withColumn(out, F.col("_nr_place") + F.col("_nr_offset")).drop("_nr_p", "_nr_key", "_nr_offset", "_nr_part", "_nr_place")
 
 
 def chunked_by_key(
