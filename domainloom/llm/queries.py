@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
-from . import neardup
+from . import mpknn, neardup, overlap, splits
+from ..functions.ids import domain_of, split_of
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,9 +20,65 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, folder, "embedding_store").select("row_id", "id", "embedding"))
 
 
+def _split_records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "embedding_store").select(
+        "row_id", domain_of(F.col("id")).alias("domain"), split_of(F.col("split")).alias("split"), "embedding", *columns
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split_pairs(_split_records(spark, folder))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(_split_records(spark, folder, "source"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other rows within distance 0.08 of every usable row of the index."""
+    return mpknn.nearest(table(spark, folder, "vector_index").select("row_id", "vec")).select("row_id", "nn_row_id")
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p4_found``, with distances and ranks."""
+    near = mpknn.nearest(table(spark, folder, "vector_index").select("row_id", "vec"))
+    return near.select("row_id", "nn_row_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its superfamily, component, delivered and newly assigned split."""
+    reports = table(spark, folder, "split_summary")
+    fractions = {s: parameter(reports, f"{s}_fraction") for s in ("train", "val", "test")}
+    seed = int(parameter(reports, "random_seed", 0))
+    records = records_with_superfamily(spark, folder, "split").select(
+        "row_id", "domain", "superfamily", split_of(F.col("split")).alias("delivered")
+    )
+    return splits.assign_splits(records, ["superfamily", "domain"], fractions, seed=seed)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.divided(p2_records(spark, folder), "superfamily").select(F.col("superfamily").alias("label_idx"))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_records(spark, folder).select("row_id", F.col("superfamily").alias("label_idx"), "root", "assigned")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits,
+        "p3_found": p3_found, "p3_report": p3_report,
+        "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": SQL_RECORDS + """
+, placed AS (
+  SELECT superfamily, lower(regexp_replace(split, '[^A-Za-z]', '', 'g')) AS s FROM sf WHERE superfamily IS NOT NULL),
+spelled AS (
+  SELECT superfamily, CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'val'
+    WHEN s IN ('test', 'testing', 'tst') THEN 'test' WHEN s IN ('holdout', 'holdouts') THEN 'holdout' END AS s FROM placed)
+SELECT superfamily AS label_idx FROM spelled GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+    }
