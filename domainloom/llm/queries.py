@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
-from . import mpknn, neardup, overlap, splits
+from . import mpknn, neardup, overlap, packing, splits, tokens
 from ..functions.ids import domain_of, split_of
 
 
@@ -64,11 +64,36 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return p2_records(spark, folder).select("row_id", F.col("superfamily").alias("label_idx"), "root", "assigned")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, folder, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: documents, tokens, and texts that decoding their ids does not give back (none)."""
+    rows = table(spark, folder, "documents").select("source", "text", tokens.token_ids(F.col("text")).alias("ids"))
+    back = rows.select("source", F.size("ids").alias("n"), (tokens.decoded(F.col("ids")) != F.coalesce("text", F.lit(""))).cast("bigint").alias("bad"))
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum("bad").alias("differing"))
+
+
+def _capacities(spark: SparkSession, folder: str) -> dict[str, int]:
+    # a fixed table of a few named capacities
+    return {r[0]: r[1] for r in table(spark, folder, "pack_capacity").select("capacity_name", "capacity_tokens").collect()}
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), _capacities(spark, folder))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, folder), _capacities(spark, folder))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits,
         "p3_found": p3_found, "p3_report": p3_report,
         "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_packed": p7_packed, "p7_fill": p7_fill,
     }
 
 
