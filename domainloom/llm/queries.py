@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
-from . import mpknn, neardup, overlap, packing, splits, tokens
+from . import mpknn, neardup, overlap, packing, spam, splits, tokens
 from ..functions.ids import domain_of, split_of
 
 
@@ -88,12 +88,22 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, folder), _capacities(spark, folder))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.assessed(table(spark, folder, "documents")).where("spam").select("doc_id")
+
+
+def p8_assessed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its distance, direction and spam share."""
+    return spam.assessed(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits,
         "p3_found": p3_found, "p3_report": p3_report,
         "p4_found": p4_found, "p4_neighbours": p4_neighbours,
         "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_packed": p7_packed, "p7_fill": p7_fill,
+        "p8_found": p8_found, "p8_assessed": p8_assessed,
     }
 
 
