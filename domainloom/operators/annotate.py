@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .knn import knn_join
+from .skew import number_rows
 
 UNKNOWN = "unknown"
 MISSING = "missing_embedding"
@@ -37,7 +38,7 @@ def index_annotations(index: DataFrame, labels: DataFrame | None = None) -> Data
     if "label" in index.columns:
         return index.select(F.col("row_id").alias("db_row"), F.col("label").alias("annotation"))
     if labels is not None and "id" in index.columns:
-        found = index.join(labels.select("id", "label"), "id", "left")
+        found = index.select("row_id", "id").join(labels.select("id", "label"), "id", "left")
         return found.select(F.col("row_id").alias("db_row"), F.col("label").alias("annotation"))
     return index.select(F.col("row_id").alias("db_row"), F.lit(None).cast("string").alias("annotation"))
 
@@ -97,10 +98,8 @@ def in_query_order(predictions: DataFrame) -> DataFrame:
     Output order of the reports: repeated ids stand together.  Positions are
     dense; they are assigned range by range, so no task sorts all rows.
     """
-    last = predictions.groupBy("query_id").agg(F.max("query_pos").alias("_last"))
-    joined = predictions.join(last, F.col("query_id").eqNullSafe(last["query_id"])).drop(last["query_id"])
-    from .skew import number_rows
-
+    last = predictions.groupBy(F.col("query_id").alias("_id")).agg(F.max("query_pos").alias("_last"))
+    joined = predictions.join(last, F.col("query_id").eqNullSafe(F.col("_id"))).drop("_id")
     parts = max(1, int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = joined.repartitionByRange(parts, "_last", "query_pos").sortWithinPartitions("_last", "query_pos")
     return number_rows(ordered.withColumn("_all", F.lit(0)), "_all", "position").drop("_all", "_last")
@@ -108,7 +107,8 @@ def in_query_order(predictions: DataFrame) -> DataFrame:
 
 def index_labels(index: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_id, id, label``: each index id's label, ``unknown`` where it has none."""
-    return index.join(labels.select("id", "label"), "id", "left").select("row_id", "id", decode(F.col("label")).alias("label"))
+    named = index.select("row_id", "id").join(labels.select("id", "label"), "id", "left")
+    return named.select("row_id", "id", decode(F.col("label")).alias("label"))
 
 
 def top_hits(predictions: DataFrame, index: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .skew import number_rows
 
 
 @dataclass(frozen=True)
@@ -78,7 +81,7 @@ def encoder_batches(sequences: DataFrame, config: EncodeConfig = EncodeConfig(),
     The order is the group's, so a group is folded by one task; it is a file of
     sequences, and encoding runs over groups in parallel.
     """
-    schema = sequences.drop("batch").schema.add("batch", "int")
+    schema = T.StructType([*sequences.drop("batch").schema.fields, T.StructField("batch", T.IntegerType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "pos"], ascending=[False, True], kind="stable")
@@ -129,8 +132,6 @@ def as_store(encoded: DataFrame) -> DataFrame:
 
     Numbered range by range, so no task holds all rows.
     """
-    from .skew import number_rows
-
     parts = max(1, int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = encoded.repartitionByRange(parts, "file", "pos").sortWithinPartitions("file", "pos").withColumn("_all", F.lit(0))
     return number_rows(ordered, "_all", "row_id").select("row_id", *[c for c in encoded.columns if c not in ("file", "pos", "row_id")])

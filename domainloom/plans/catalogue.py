@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scale
+from . import reference, scale
 
-_PARTS = [scale]
+_PARTS = [reference, scale]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return scale.p5_found(spark, folder)
+    """k-NN annotation: neighbours, cutoff, majority vote, confidence."""
+    return reference.knn_vote_k5(spark, folder)
 
 
 def queries() -> dict:
