@@ -12,7 +12,7 @@ def header_token(header: Column) -> Column:
     Empty where there is no token (``>`` alone), null for a null header.  Each
     step uses the one before once, so the generated code stays small.
     """
-    token = F.regexp_extract(header, r"^\s*>?\s*(\S+)", 1)
+    token = F.regexp_extract(header, r"^\s*>?+\s*(\S+)", 1)
     part = F.regexp_replace(token, r"^[^|]*\|[^|]*\|([^|]*).*$", "$1")
     return F.regexp_replace(part, r"/.*$", "")
 

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 # ---- shared SQL ---------------------------------------------------------------------------------------------------
 
 #: Id of a header held in column h.
-_TOKEN = r"regexp_replace(regexp_replace(regexp_extract(h, '^\s*>?\s*(\S+)', 1), '^[^|]*\|[^|]*\|([^|]*).*$', '\1'), '/.*$', '')"
+_TOKEN = r"regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(h, '^\s+', ''), '^>', ''), '(\S+)', 1), '^[^|]*\|[^|]*\|([^|]*).*$', '\1'), '/.*$', '')"
 
 SQL_SEQUENCES = rf"""
 WITH kept AS (SELECT file, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS h FROM fasta_text WHERE line IS NOT NULL),
