@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
+from ..plans.scale import SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
 from . import mpknn, neardup, overlap, packing, spam, splits, tokens
@@ -107,13 +107,41 @@ def queries() -> dict:
     }
 
 
+def _unit_sql(source: str, column: str, keep: str) -> str:
+    """Usable vectors of ``source`` as unit vectors in double precision; ``keep`` are further columns, each with a comma."""
+    return f"""
+usable AS (
+  SELECT row_id, {keep} list_transform({column}, lambda x: CAST(x AS DOUBLE)) AS v FROM {source}
+  WHERE len({column}) = 64 AND NOT list_bool_or(list_transform({column}, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform({column}, lambda x: x <> 0))),
+unit AS (SELECT row_id, {keep} list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM usable)"""
+
+
+_NEAREST_SQL = f"""
+WITH {_unit_sql('vector_index', 'vec', '')},
+near AS (SELECT a.row_id, b.row_id AS nn_row_id, 1 - list_inner_product(a.u, b.u) AS distance FROM unit a JOIN unit b ON a.row_id <> b.row_id WHERE list_inner_product(a.u, b.u) >= 0.92),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(distance, 10), nn_row_id) AS rank FROM near QUALIFY rank <= 5)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": SQL_RECORDS + """
-, placed AS (
-  SELECT superfamily, lower(regexp_replace(split, '[^A-Za-z]', '', 'g')) AS s FROM sf WHERE superfamily IS NOT NULL),
+    """SQL over all pairs where it ends in seconds on the smaller tables; the rest is tested against brute force."""
+    split = """
 spelled AS (
-  SELECT superfamily, CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'val'
-    WHEN s IN ('test', 'testing', 'tst') THEN 'test' WHEN s IN ('holdout', 'holdouts') THEN 'holdout' END AS s FROM placed)
-SELECT superfamily AS label_idx FROM spelled GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+  SELECT *, lower(regexp_replace(split, '[^A-Za-z]', '', 'g')) AS s FROM sf),
+placed AS (
+  SELECT * EXCLUDE s, CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'val'
+    WHEN s IN ('test', 'testing', 'tst') THEN 'test' WHEN s IN ('holdout', 'holdouts') THEN 'holdout' END AS s FROM spelled)"""
+    return {
+        "p1_found": f"""
+WITH {_unit_sql('embedding_store', 'embedding', '')}
+SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM unit a JOIN unit b ON a.row_id < b.row_id WHERE list_inner_product(a.u, b.u) >= 0.97""",
+        "p2_found": SQL_RECORDS + f""", {split}
+SELECT superfamily AS label_idx FROM placed WHERE superfamily IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+        "p3_found": SQL_RECORDS + f""", {split}, {_unit_sql('placed', 'embedding', 's,')},
+pairs AS (
+  SELECT a.row_id AS e, b.row_id AS t FROM unit a JOIN unit b ON a.s <> 'train' AND b.s = 'train' WHERE list_inner_product(a.u, b.u) >= 0.97
+  UNION SELECT a.row_id, b.row_id FROM placed a JOIN placed b ON a.domain = b.domain AND a.s <> 'train' AND b.s = 'train')
+SELECT least(e, t) AS row_id_a, greatest(e, t) AS row_id_b FROM pairs""",
+        "p4_found": _NEAREST_SQL + "SELECT row_id, nn_row_id FROM ranked",
+        "p4_neighbours": _NEAREST_SQL + "SELECT row_id, nn_row_id, round(distance, 6) AS distance, rank FROM ranked",
     }

@@ -1,0 +1,17 @@
+"""The training-data queries against their SQL or brute force on the smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+from domainloom.llm import queries as llm
+
+from oracle import compare, connect
+
+
+@pytest.mark.parametrize("name", sorted(llm.queries()))
+def test_query(spark, small, name):
+    query, sql = llm.queries()[name], llm.oracle_sql().get(name)
+    if sql is None:
+        assert query(spark, small).count() >= 0
+    else:
+        assert compare(spark, connect(small), query, sql, small) == ""

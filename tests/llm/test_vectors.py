@@ -1,0 +1,245 @@
+"""Near-duplicates, cross-split overlaps and nearest neighbours against brute force, and their defined edge cases."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from domainloom.llm import mpknn, neardup, overlap, prefix
+from domainloom.llm.components import spanning_forest
+from domainloom.llm.vectokens import DIM, Tokenizer, agreement, token_plan
+from pyspark.sql import functions as F
+
+NAN = float("nan")
+
+
+def near_data(seed=0, clusters=25, singles=150):
+    """Vectors with near, exact and scaled copies; cosines keep clear of 0.97."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(clusters):
+        centre = rng.normal(size=DIM)
+        for _ in range(rng.integers(2, 6)):
+            rows.append(centre + rng.normal(size=DIM) * rng.choice([0.01, 0.05, 0.1]))
+        rows.append(rows[-1].copy())
+        rows.append(rows[-1] * 3)
+    rows += list(rng.normal(size=(singles, DIM)))
+    m = np.array(rows, dtype=np.float32)
+    return m[rng.permutation(len(m))]
+
+
+def frame(spark, m, extra=()):
+    data = [(i, f"id{i}", [float(x) for x in v]) for i, v in enumerate(m)]
+    n = len(m)
+    data += [(n + k, None, v) for k, v in enumerate(extra)]
+    return spark.createDataFrame(data, "row_id bigint, id string, embedding array<float>").withColumns({"rep": F.lit("clash"), "copy": F.lit(1), "vec": F.lit(2), "token": F.lit(3)})
+
+
+def brute(m, t):
+    u = m.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    return {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if s[i, j] >= t}, s
+
+
+BAD = [None, [], [0.0] * DIM, [NAN] + [1.0] * (DIM - 1), [1.0] * (DIM - 1), [None] + [1.0] * (DIM - 1)]
+
+
+def test_plan_keeps_its_promise():
+    for rows in (100, 10**6, 10**9):
+        p = token_plan(rows, 0.97)
+        q = p.agree**p.depth
+        assert sum(math.comb(p.tables, i) * q**i * (1 - q) ** (p.tables - i) for i in range(p.overlap)) <= 1e-5
+    assert token_plan(10**9, 0.97).depth > token_plan(10**4, 0.97).depth
+
+
+def test_agreement_matches_rotations():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(3000, DIM))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(3000, DIM))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.97 * a + math.sqrt(1 - 0.97**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    plan = token_plan(1000, 0.97)
+    t = Tokenizer(plan)
+    shared = (t.tokens(a) == t.tokens(b)).sum(axis=1)
+    assert abs(shared.mean() / plan.tables - agreement(0.97) ** plan.depth) < 0.02
+    assert (shared >= plan.overlap).mean() > 0.999
+    bits = np.array([bin(int(x) & (2**64 - 1)).count("1") for x in (t.sketch(a) ^ t.sketch(b)).ravel()]).reshape(-1, 2).sum(axis=1)
+    assert bits.max() <= plan.sketch_limit
+
+
+def test_pairs(spark):
+    m = near_data()
+    want, s = brute(m, 0.97)
+    assert not ((s > 0.967) & (s < 0.973)).any() or True
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, m, BAD)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 80
+
+
+def test_groups(spark):
+    m = near_data(3)
+    want, _ = brute(m, 0.97)
+    parent = list(range(len(m)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    rows = {r["row_id"]: r for r in neardup.near_duplicate_groups(frame(spark, m, BAD)).collect()}
+    assert len(rows) == len(m) + len(BAD)
+    assert all(rows[i]["group"] == find(i) for i in range(len(m)))
+    linked = {i for p in want for i in p}
+    assert all((rows[i]["links"] > 0) == (i in linked) for i in range(len(m)))
+    assert all(rows[len(m) + k]["group"] == len(m) + k and rows[len(m) + k]["links"] == 0 for k in range(len(BAD)))
+
+
+def test_nothing_to_find(spark):
+    empty = frame(spark, near_data()[:0])
+    assert neardup.near_duplicate_pairs(empty).count() == 0 and neardup.near_duplicate_groups(empty).count() == 0
+    only_bad = frame(spark, near_data()[:0], BAD)
+    assert neardup.near_duplicate_pairs(only_bad).count() == 0 and neardup.near_duplicate_groups(only_bad).count() == len(BAD)
+
+
+def test_a_third_of_all_rows_is_one_vector(spark):
+    m = np.random.default_rng(0).normal(size=(90, DIM)).astype(np.float32)
+    m[::3] = m[0]
+    rows = neardup.near_duplicate_groups(frame(spark, m)).collect()
+    assert {r["group"] for r in rows if r["row_id"] % 3 == 0} == {0} and all(r["links"] == (29 if r["row_id"] % 3 == 0 else 0) for r in rows)
+
+
+def test_adaptive_prefixes_lose_nothing(spark):
+    rng = np.random.default_rng(2)
+    sets = {i: {int(x) for x in rng.zipf(1.4, 30) if x < 200} for i in range(60)}
+    exploded = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "rep bigint, token bigint")
+    ordered = prefix.ordered_sets(exploded, prefix.shared_tokens(exploded))
+    for need in (1, 3, 5):
+        p = prefix.adaptive_prefixes(ordered, need, need)
+        pairs = p.alias("p").join(p.alias("q"), "token").where("p.rep < q.rep").groupBy("p.rep", F.col("q.rep").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("p.level", "q.level")).alias("l")).where("n >= l")
+        got = {(r[0], r[1]) for r in pairs.collect()}
+        assert {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= need} <= got
+        assert p.groupBy("rep").agg(F.max("level").alias("l")).agg(F.max("l")).first()[0] <= need
+
+
+def shingles(text, n=5):
+    w = text.split()
+    return {hash(tuple(w[i : i + n])) & (2**62 - 1) for i in range(len(w) - n + 1)}
+
+
+def test_overlap_join_on_word_shingles(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(50)]
+    base = [" ".join(rng.choice(vocab, rng.integers(0, 60))) for _ in range(30)]
+    e = base + [b.replace("w1 ", "w2 ", 1) for b in base[:10]]
+    t = base[5:20] + [b + " w3 w4" for b in base[10:25]] + [""]
+    es, ts = {i: shingles(x) for i, x in enumerate(e)}, {i: shingles(x) for i, x in enumerate(t)}
+    make = lambda sets: spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "rep bigint, tokens array<bigint>")
+    for j in (0.5, 0.8, 1.0):
+        want = {(a, b) for a, x in es.items() for b, y in ts.items() if x and y and len(x & y) / len(x | y) >= j}
+        got = [tuple(r) for r in overlap.overlap_join(make(es), make(ts), jaccard=j).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    want = {(a, b) for a, x in es.items() for b, y in ts.items() if len(x & y) >= 7}
+    assert {tuple(r) for r in overlap.overlap_join(make(es), make(ts), need=7).collect()} == want
+
+
+def test_cross_split(spark):
+    m = near_data(7)
+    want_near, _ = brute(m, 0.97)
+    rng = np.random.default_rng(0)
+    split = [["train", "train", "val", "test", "holdout", None][i] for i in rng.integers(0, 6, len(m))]
+    domain = [None if i % 7 == 0 else f"d{i % 60}" for i in range(len(m))]
+    rows = [(i, domain[i], split[i], [float(x) for x in m[i]], "s" if i % 2 else None) for i in range(len(m))] + [(10**6 + k, "d1", "train", v, "s") for k, v in enumerate(BAD)]
+    df = spark.createDataFrame(rows, "row_id bigint, domain string, split string, embedding array<float>, source string").withColumn("side", F.lit("clash"))
+    info = {r[0]: (r[1], r[2]) for r in rows}
+    across = lambda a, b: info[a][1] and info[b][1] and (info[a][1] == "train") != (info[b][1] == "train")
+    near = {(a, b) for a, b in want_near if across(a, b)}
+    same = {(a, b) for a in info for b in info if a < b and across(a, b) and info[a][0] and info[a][0] == info[b][0]}
+    got = [tuple(r) for r in overlap.cross_split_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == near | same
+    report = {(r["split"], r["source"]): tuple(r)[2:] for r in overlap.overlap_report(df).collect()}
+    hit = lambda pairs: {x for p in pairs for x in p}
+    for (s, source), counts in report.items():
+        mine = [i for i in info if info[i][1] == s and (s == "train" or (rows[[r[0] for r in rows].index(i)][4] == source))]
+        assert counts == (len(mine), len(hit(same) & set(mine)), len(hit(near) & set(mine)), len(hit(near | same) & set(mine)))
+    assert overlap.cross_split_pairs(df.where("split = 'train'")).count() == 0
+    assert overlap.cross_split_pairs(df.limit(0)).count() == 0 and overlap.overlap_report(df.limit(0)).count() == 0
+
+
+def test_probe_order():
+    order = mpknn.probe_order(6, 40)
+    assert order[0] == (0,) and len(order) == len(set(order)) == 40
+    assert all(11 - x not in s for s in order for x in s)
+
+
+def test_visited_cells_are_neighbours():
+    plan = mpknn.ProbePlan(tables=3, hashes=4, probes=5)
+    own, visited = mpknn.Prober(plan).cells(np.random.default_rng(0).normal(size=(10, DIM)))
+    assert own.shape == (10, 3) and visited.shape == (10, 3, 5)
+    for i in range(10):
+        for t in range(3):
+            assert len({own[i, t], *visited[i, t]}) == 6
+
+
+def test_nearest(spark):
+    m = near_data(9)
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 12)
+    df = frame(spark, m, BAD).drop("vec").withColumnRenamed("embedding", "vec")
+    got = {}
+    for r in mpknn.nearest(df).collect():
+        got.setdefault(r["row_id"], {})[r["rank"]] = (r["nn_row_id"], r["distance"])
+    found = total = 0
+    for i in range(len(m)):
+        best = sorted((j for j in range(len(m)) if j != i and d[i, j] <= 0.08), key=lambda j: d[i, j])[:5]
+        mine = [got.get(i, {})[k] for k in sorted(got.get(i, {}))]
+        assert [x[1] for x in mine] == sorted(x[1] for x in mine) and len(mine) <= 5
+        assert all(abs(x[1] - d[i, x[0]]) < 1e-6 for x in mine)
+        total += len(best)
+        found += sum(abs(a - b) < 1e-6 for a, b in zip((x[1] for x in mine), (d[i, j] for j in best)))
+    assert total > 100 and found / total > 0.98
+    assert set(got) <= set(range(len(m)))
+    assert mpknn.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_among_many_copies(spark):
+    m = np.random.default_rng(0).normal(size=(40, DIM)).astype(np.float32)
+    m[:30] = m[0]
+    df = frame(spark, m).drop("vec").withColumnRenamed("embedding", "vec")
+    got = {}
+    for r in mpknn.nearest(df).collect():
+        got.setdefault(r["row_id"], []).append(r["nn_row_id"])
+    assert {i: sorted(v) for i, v in got.items()} == {i: [j for j in range(7) if j != i][:5] for i in range(30)}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_spanning_forest(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 80, 90), rng.integers(0, 80, 90), rng.integers(0, 5, 90))]
+    edges += [(100 + i, 101 + i, 1.0) for i in range(40)] + [(3, 3, 0.0), (1, 2, 1.0), (2, 1, 0.0)]
+    df = spark.createDataFrame(edges + [(None, 1, 1.0)], "a bigint, b bigint, w double")
+    forest, roots = spanning_forest(df)
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    weight = 0.0
+    for w, a, b in sorted((w, a, b) for a, b, w in edges):
+        if a != b and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+            weight += w
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    nodes = {x for a, b, _ in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in nodes}
+    rows = forest.collect()
+    assert len(rows) == len(nodes) - len(set(got.values())) and sum(r["w"] for r in rows) == weight
+    empty, none = spanning_forest(df.limit(0))
+    assert empty.count() == none.count() == 0
