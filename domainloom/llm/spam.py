@@ -50,7 +50,7 @@ CONSISTENCY = 1.92
 LEAST_TEXTS = 50
 
 _WORDS = {w: lang for lang in ("es", "fr", "de", "en") for w in FUNCTION_WORDS[lang].split()}
-_LANGS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_LANGS = {w: tuple(lang for lang in FUNCTION_WORDS if w in FUNCTION_WORDS[lang].split()) for w in _WORDS}
 _URL = re.compile(
     r"(?i)(?:h(?:tt|xx)ps?://|www\.)\S+|\b[\w-]+(?:\[?\.\]?[\w-]+)*\[?\.\]?(?:example|test|invalid|com|org|net|info|biz|shop)\b(?:/\S*)?"
     r"|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}/\S+"
@@ -58,9 +58,14 @@ _URL = re.compile(
 _ANCHOR = re.compile(r"(?is)<a\s[^>]{0,500}?href\s*=\s*[\"']?([^\"'>\s]{0,400})[^>]{0,500}>([^<]{0,500})</a>")
 _BREAK = re.compile(r"(?i)</?(?:br|p|div|li|tr|h[1-6]|ul|ol|table)\b[^>]{0,200}>")
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
-_HIDDEN = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x180E])
+_HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhABEKMHOPCTXIJS")
+_CYRILLIC = re.compile("[\u0400-\u052f]")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+_SIGN = re.compile(r"[013457@$]")
+_LETTER = re.compile(r"[a-z]")
+#: Cheaper than the pattern of links and found in every text it matches.
+_MAYBE_URL = re.compile(r"(?i)//|www\.|\.\]?(?:example|test|invalid|com|org|net|info|biz|shop)|\.[a-z]{2,7}/|\](?:example|test|invalid|com|org|net|info|biz|shop)")
 _AMINO = re.compile(r"^[A-Z*\-]{12,}$")
 _ROW = re.compile(r"^\s*\S+\s+\d+\.\d+\.\d+\.\d+\b")
 _SKU = re.compile(r"\b[A-Z]{2,3}-\d{3,6}\b")
@@ -79,7 +84,11 @@ def plain(text: str) -> str:
     text = html.unescape(text)
     text = _ANCHOR.sub(r"[\2](\1)", text)
     text = _TAG.sub(" ", _BREAK.sub("\n", text))
-    return unicodedata.normalize("NFKC", text.translate(_HIDDEN)).replace("\r", "\n").translate(_LOOKALIKE)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
+        if _CYRILLIC.search(text):
+            text = text.translate(_LOOKALIKE)
+    return text.replace("\r", "\n")
 
 
 def line_words(line: str) -> list[str]:
@@ -89,7 +98,7 @@ def line_words(line: str) -> list[str]:
         x = w.strip(_EDGE).lower()
         if not x:
             continue
-        if any(c in "013457@$" for c in x) and any("a" <= c <= "z" for c in x):
+        if not x.isalpha() and _SIGN.search(x) and _LETTER.search(x):
             y = x.translate(_LEET)
             if all(c.isalpha() or c in "-/" for c in y):
                 x = y
@@ -97,8 +106,7 @@ def line_words(line: str) -> list[str]:
     return out
 
 
-def _size(text: str) -> int:
-    han = len(_HAN.findall(text))
+def _size(text: str, han: int) -> int:
     return len((_HAN.sub(" ", text) if han else text).split()) + (han + 1) // 2
 
 
@@ -118,7 +126,7 @@ def assess(text: str | None) -> tuple[str, int, float, list[float]]:
         bare = line.strip()
         sequence = bare.startswith(">") or bool(_AMINO.match(bare)) and (sequence or len(bare) >= 25)
         fixed = sequence or bool(_ROW.match(line))
-        links = _URL.findall(line)
+        links = _URL.findall(line) if _MAYBE_URL.search(line) else []
         rest = _URL.sub(" ", line) if links else line
         words = line_words(rest)
         if not fixed:
@@ -129,15 +137,16 @@ def assess(text: str | None) -> tuple[str, int, float, list[float]]:
     by_lang: Counter = Counter()
     loose = 0
     for line, links, rest, words, fixed in parsed:
-        n, size, han = len(words), _size(rest), len(_HAN.findall(rest))
+        han = 0 if rest.isascii() else len(_HAN.findall(rest))
+        n, size = len(words), _size(rest, han)
         content = [w for w in words if w not in _WORDS]
-        phrases = PHRASES.findall(rest)
+        phrases = PHRASES.findall(rest) if n else []
         function = max(0, n - len(content) - sum(p.lower() in ("for sale", "pas cher") for p in phrases))
         f = function / n if n else 0.0
         counts = Counter(content)
         top, most = counts.most_common(1)[0] if counts else ("", 0)
         known = sum(seen[w] >= 3 or w in SELLING for w in content) / n if n else 0.0
-        tags = sum(w.startswith("#") and len(w) > 1 for w in rest.split())
+        tags = sum(w.startswith("#") and len(w) > 1 for w in rest.split()) if "#" in rest else 0
         catalogue = bool(_SKU.search(line) and _MONEY.search(line))
         sentence = han >= 6 and han > 2 * n and bool(_HAN_SENTENCE.search(rest))
         dominated = most >= 3 and most / n >= 0.17
@@ -167,8 +176,10 @@ def assess(text: str | None) -> tuple[str, int, float, list[float]]:
             in_function += function + (han if sentence else 0)
             han_total += han
             loose += 0 if kind == "writing" else n
-            for lang, own in _LANGS.items():
-                by_lang[lang] += sum(w in own for w in words)
+            if len(content) < n:
+                for w in words:
+                    for lang in _LANGS.get(w, ()):
+                        by_lang[lang] += 1
     spam = 0
     for i, (kind, size, links) in enumerate(kinds):
         if kind == "short":
