@@ -2,9 +2,9 @@
 
 Rows are counted per (input partition, key), the counts are prefix-summed to
 offsets, and each row's offset plus its place in its partition is its number
-within the key.  Equal runs of numbers form chunks; every chunk is processed by
-itself and the chunks' states are merged in order, level by level.  No task ever
-sees more than one chunk of rows or one bundle of states, however large a key is.
+within the key.  Equal runs of numbers form chunks; every chunk is processed where its
+rows are and the chunks' states are merged in order, level by level.  No task ever
+gathers more than one chunk's states or one bundle of them, however large a key is.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..session import stage
 
 CHUNK_ROWS = 20_000
 BROADCAST_OFFSETS = 500_000
+MERGE_ROWS = 20_000
 
 
 def _number_in_partition(key: str, schema: T.StructType) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -72,48 +73,67 @@ def number_rows(rows: DataFrame, key: str, out: str = "row_number") -> DataFrame
 def chunked_by_key(
     rows: DataFrame,
     key: str,
-    state: Callable[[pd.DataFrame], pd.DataFrame],
-    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    states: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+    merge: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
     state_schema: str,
     chunk_rows: int = CHUNK_ROWS,
     fan_in: int = 256,
 ) -> DataFrame:
-    """``key`` and the merged state of each key's rows.
-
-    ``state`` turns one chunk (at most ``chunk_rows`` rows of one key, ordered by
-    their number) into one row of ``state_schema``; ``merge`` turns ordered states
-    into one.  Chunks and bundles of ``fan_in`` states are of bounded size, so the
-    work of a key is spread over as many tasks as it has chunks.
+    """``key`` and the merged state of each key's rows, in the order of their numbers.
+
+    ``states(pdf, piece)`` gets an ordered batch of rows and the piece each belongs
+    to (0-based codes in the order of first appearance) and gives one row of
+    ``state_schema`` per piece; a piece is what one batch holds of one chunk of
+    one key.  It runs where the rows are, so only states are shuffled.
+    ``merge(pdf, group)`` turns the ordered states of each group into one row: first
+    those of a chunk (at most ``chunk_rows``), then bundles of ``fan_in`` chunks,
+    level by level.  Groups are merged many at a time, in buckets of about
+    ``MERGE_ROWS`` states; a bucket exceeds that by no more than one group.
     """
     fields = T._parse_datatype_string(state_schema).fields
     names = [f.name for f in fields]
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_chunk", T.LongType()), *fields])
+    head = [T.StructField(key, rows.schema[key].dataType), T.StructField("_chunk", T.LongType()), T.StructField("_first", T.LongType())]
+    schema = T.StructType([*head, *fields])
     numbered = number_rows(rows, key, "_number")
-    chunks = numbered.withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("bigint"))
 
-    def one_chunk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = state(pdf.sort_values("_number", kind="stable"))[names]
-        out.insert(0, key, group[0])
-        out.insert(1, "_chunk", group[1])
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("_number", kind="stable")
+            chunk = pdf["_number"].to_numpy() // chunk_rows
+            codes, uniques = pd.factorize(pdf[key], use_na_sentinel=False)
+            piece, ids = pd.factorize(codes * (int(chunk.max()) + 1) + chunk)
+            out = states(pdf, piece)[names]
+            at = np.zeros(len(ids), dtype=np.int64)
+            at[piece[::-1]] = np.arange(len(pdf))[::-1]  # the first row of each piece
+            out.insert(0, key, pdf[key].to_numpy()[at])
+            out.insert(1, "_chunk", chunk[at])
+            out.insert(2, "_first", pdf["_number"].to_numpy()[at])
+            yield out
+
+    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_chunk", "_first"], kind="stable")
+        codes, uniques = pd.factorize(pdf[key], use_na_sentinel=False)
+        chunk = pdf["_chunk"].to_numpy()
+        group, ids = pd.factorize(codes * (int(chunk.max()) + 1) + chunk)
+        at = np.zeros(len(ids), dtype=np.int64)
+        at[group[::-1]] = np.arange(len(pdf))[::-1]
+        out = merge(pdf, group)[names]
+        for place, name in enumerate((key, "_chunk", "_first")):
+            out.insert(place, name, pdf[name].to_numpy()[at])
         return out
 
-    def one_bundle(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge(pdf.sort_values("_chunk", kind="stable"))[names]
-        out.insert(0, key, group[0])
-        out.insert(1, "_chunk", group[1])
-        return out
+    def merged(states: DataFrame) -> DataFrame:
+        buckets = max(1, states.count() // MERGE_ROWS)
+        return states.withColumn("_bucket", F.pmod(F.xxhash64(key, "_chunk"), F.lit(buckets))).groupBy("_bucket").applyInPandas(bucket, schema)
 
-    states = stage(chunks.groupBy(key, "_chunk").applyInPandas(one_chunk, schema))
-    most = states.agg(F.max("_chunk")).first()[0] or 0
-    while True:
-        states = (
-            states.withColumn("_bundle", F.floor(F.col("_chunk") / fan_in).cast("bigint"))
-            .groupBy(key, "_bundle").applyInPandas(one_bundle, schema)
-        )
-        if most < fan_in:
-            return states.drop("_chunk")
-        states = stage(states)
+    now = stage(merged(stage(numbered.mapInPandas(pieces, schema))))
+    most = now.agg(F.max("_chunk")).first()[0] or 0
+    while most > 0:
+        now = stage(merged(now.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in).cast("bigint"))))
         most //= fan_in
+    return now.drop("_chunk", "_first")
 
 
 def superfamily_profiles(records: DataFrame, key: str = "superfamily", chunk_rows: int = CHUNK_ROWS, dim: int = 64) -> DataFrame:
@@ -130,18 +150,27 @@ def superfamily_profiles(records: DataFrame, key: str = "superfamily", chunk_row
         .groupBy(key).agg(F.count("_one").alias("sources"))
     )
 
-    def state(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = [v for v in pdf["embedding"] if v is not None and len(v) == dim]
-        m = np.array(good, dtype=np.float64).reshape(-1, dim)
-        m = m[~np.isnan(m).any(axis=1) & (m != 0).any(axis=1)]
-        return pd.DataFrame({"records": [len(pdf)], "usable": [len(m)], "total": [m.sum(axis=0).tolist()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.array(pdf["total"].tolist(), dtype=np.float64).reshape(-1, dim).sum(axis=0)
-        return pd.DataFrame({"records": [int(pdf["records"].sum())], "usable": [int(pdf["usable"].sum())], "total": [total.tolist()]})
+    def states(pdf: pd.DataFrame, piece: np.ndarray) -> pd.DataFrame:
+        n = int(piece.max()) + 1
+        fits = np.array([v is not None and len(v) == dim for v in pdf["embedding"]], dtype=bool)
+        m = np.array(pdf["embedding"][fits].tolist(), dtype=np.float64).reshape(-1, dim)
+        good = ~np.isnan(m).any(axis=1) & (m != 0).any(axis=1)
+        m, of = m[good], piece[fits][good]
+        total = np.zeros((n, dim))
+        np.add.at(total, of, m)
+        return pd.DataFrame({"records": np.bincount(piece, minlength=n), "usable": np.bincount(of, minlength=n), "total": list(total)})
+
+    def merge(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        n = int(group.max()) + 1
+        out = {c: np.zeros(n, dtype=np.int64) for c in ("records", "usable")}
+        for c, to in out.items():
+            np.add.at(to, group, pdf[c].to_numpy())
+        total = np.zeros((n, dim))
+        np.add.at(total, group, np.array(pdf["total"].tolist(), dtype=np.float64).reshape(-1, dim))
+        return pd.DataFrame(out | {"total": list(total)})
 
     schema = "records bigint, usable bigint, total array<double>"
-    merged = chunked_by_key(known.select(key, "embedding"), key, state, merge, schema, chunk_rows)
+    merged = chunked_by_key(known.select(key, "embedding"), key, states, merge, schema, chunk_rows)
     return merged.join(sources, key, "left").select(
         key, "records", "usable", F.coalesce("sources", F.lit(0)).cast("bigint").alias("sources"),
         F.when(F.col("usable") > 0, F.transform("total", lambda x: x / F.col("usable"))).alias("mean"),
