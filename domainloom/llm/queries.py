@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import domain_of, split_of
+from ..operators.knn import knn_join
 from ..plans.scale import SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
 from . import mpknn, neardup, overlap, packing, spam, splits, tokens
-from ..functions.ids import domain_of, split_of
+from .vectokens import usable
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +66,29 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return p2_records(spark, folder).select("row_id", F.col("superfamily").alias("label_idx"), "root", "assigned")
 
 
+def _exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest of every row whose id is divisible by 100, against all usable rows, in blocks."""
+    rows = table(spark, folder, "vector_index").select("row_id", "vec").where(usable(F.col("vec")))
+    asked = rows.where(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("query_pos"), "vec")
+    return knn_join(asked, rows, 5, exclude_self=True)
+
+
+def p4_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other rows at any distance of every hundredth id."""
+    return _exact(spark, folder).select(
+        F.col("query_pos").alias("row_id"), F.col("db_row").alias("nn_row_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank")
+    )
+
+
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: of the true nearest within 0.08 of every hundredth id, how many the hashing finds."""
+    true = _exact(spark, folder).where(F.col("distance") <= 0.08).select(F.col("query_pos").alias("row_id"), F.col("db_row").alias("nn_row_id"))
+    found = p4_found(spark, folder).withColumn("hit", F.lit(1))
+    return true.join(found, ["row_id", "nn_row_id"], "left").agg(
+        F.count(F.lit(1)).alias("true_neighbours"), F.count("hit").alias("found"), F.coalesce(F.count("hit") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(1.0)).alias("recall")
+    )
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
@@ -101,7 +126,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits,
         "p3_found": p3_found, "p3_report": p3_report,
-        "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_knn": p4_knn, "p4_recall": p4_recall,
         "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_packed": p7_packed, "p7_fill": p7_fill,
         "p8_found": p8_found, "p8_assessed": p8_assessed,
     }
@@ -143,5 +168,9 @@ pairs AS (
   UNION SELECT a.row_id, b.row_id FROM placed a JOIN placed b ON a.domain = b.domain AND a.s <> 'train' AND b.s = 'train')
 SELECT least(e, t) AS row_id_a, greatest(e, t) AS row_id_b FROM pairs""",
         "p4_found": _NEAREST_SQL + "SELECT row_id, nn_row_id FROM ranked",
+        "p4_knn": f"""
+WITH {_unit_sql('vector_index', 'vec', '')},
+near AS (SELECT a.row_id, b.row_id AS nn_row_id, round(list_inner_product(a.u, b.u), 10) AS s FROM unit a JOIN unit b ON a.row_id <> b.row_id WHERE a.row_id % 100 = 0)
+SELECT row_id, nn_row_id, round(1.0 - s, 6) AS distance, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, nn_row_id) AS rank FROM near QUALIFY rank <= 5""",
         "p4_neighbours": _NEAREST_SQL + "SELECT row_id, nn_row_id, round(distance, 6) AS distance, rank FROM ranked",
     }
