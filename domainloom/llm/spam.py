@@ -60,6 +60,7 @@ _BREAK = re.compile(r"(?i)</?(?:br|p|div|li|tr|h[1-6]|ul|ol|table)\b[^>]{0,200}>
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhABEKMHOPCTXIJS")
+_DASH = re.compile("[\u2010\u2011\u2012\u2212]")
 _CYRILLIC = re.compile("[\u0400-\u052f]")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _SIGN = re.compile(r"[013457@$]")
@@ -72,6 +73,7 @@ _SKU = re.compile(r"\b[A-Z]{2,3}-\d{3,6}\b")
 _MONEY = re.compile(r"(?:[$€£]|USD|EUR|GBP)\s?\d|\d\s?(?:[$€£]|USD|EUR|GBP)")
 _LIST = re.compile(r"(?i)^\s*(?:tags|keywords|related searches|schlagwörter|stichwörter|mots-clés|palabras clave|etiquetas|you may also like)\s*:")
 _CRUMB = re.compile(r"\s[>»/|→]\s")
+_SENTENCE = re.compile(r"[.!?;:]")
 _SEPARATOR = re.compile(r"[;,|•/]\s")
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 _HAN_SENTENCE = re.compile(r"[。，、぀-ゟ的为于约个]")
@@ -88,6 +90,7 @@ def plain(text: str) -> str:
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
         if _CYRILLIC.search(text):
             text = text.translate(_LOOKALIKE)
+        text = _DASH.sub("-", text)
     return text.replace("\r", "\n")
 
 
@@ -166,6 +169,8 @@ def assess(text: str | None) -> tuple[str, int, float, list[float]]:
             kind = "spam"
         elif n >= 12 and f < 0.08 and (known >= 0.35 or len(_SEPARATOR.findall(rest)) * 4 >= n):
             kind = "spam"
+        elif n >= 12 and f < 0.05 and len(counts) < 0.85 * n and not _SENTENCE.search(rest):
+            kind = "spam"
         else:
             kind = "short" if n <= 10 else "writing"
         kinds.append([kind, size, links])

@@ -126,6 +126,8 @@ SPAM = {
     "anchors": "\n".join(f'<a href="http://shop.example/{i}">Kinase Deals</a>' for i in range(8)),
     "tags": "#kinase #buy #kinase #cheap #synthase #kinase #online #kinase",
     "catalogue": "\n".join(f"AB-{1000 + i} kinase pure {i} mg €{i}.50" for i in range(8)),
+    "dashes": "\n".join(f"AB\u2011{1000 + i} kinase pure {i} mg €{i}.50" for i in range(8)),
+    "soup": "SEQUENCE FAMILY ARCHAEON SEQUENCE ACTIVE SITE HELIX BUNDLE FAMILY HELIX BUNDLE ACTIVE SITE MODEL SOLENOID RECEPTOR ALIGNMENT",
     "crumbs": "\n".join("Home > Kinase > Lyase > Shop" for _ in range(6)),
     "hidden": " ".join("k​i​n​a​s​e buy k1n@s3 cheap KINASE".split() * 5),
 }
