@@ -133,3 +133,11 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
     if strategy == "block":
         return _block(queries, index, k, exclude_self)
     return _two_phase(queries, index, k, exclude_self, size["n"], block_rows)
+
+
+def padded(neighbours: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_pos, rank, db_row, similarity`` with exactly ``k`` rows per query: missing places have row -1 and similarity 0."""
+    places = queries.select("query_pos", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    return places.join(neighbours.select("query_pos", "rank", "db_row", "similarity"), ["query_pos", "rank"], "left").select(
+        "query_pos", "rank", F.coalesce("db_row", F.lit(-1)).cast("bigint").alias("db_row"), F.coalesce("similarity", F.lit(0.0)).alias("similarity")
+    )

@@ -417,6 +417,27 @@ def knn_vote_index(spark: SparkSession, folder: str) -> DataFrame:
     return _voted(ann.annotate(queries, index, 5, 0.5, exclude_self=True))
 
 
+@query(SQL_UNIT + """
+, sums AS (SELECT label, i, sum(u[i]) AS s FROM unit, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i),
+centre AS (SELECT label, list(s ORDER BY i) AS v FROM sums GROUP BY label),
+means AS (SELECT label, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS m FROM centre),
+pairs AS (SELECT vec_id AS query_pos, CAST(d.label AS BIGINT) AS db_row, round(list_inner_product(u, m), 10) AS similarity FROM unit CROSS JOIN means d),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_pos ORDER BY similarity DESC, db_row) AS rank FROM pairs QUALIFY rank <= 12)
+SELECT e.vec_id AS query_pos, CAST(r.rank AS INTEGER) AS rank, coalesce(db_row, -1) AS db_row, round(coalesce(similarity, 0.0), 6) AS similarity
+FROM embeddings e CROSS JOIN (SELECT unnest(range(1, 13)) AS rank) r LEFT JOIN nn ON nn.query_pos = e.vec_id AND nn.rank = r.rank""")
+def knn_padded(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve places per query over an index of ten class means."""
+    e = _embeddings(spark, folder)
+    index = _class_means(e).select(F.col("label").cast("bigint").alias("row_id"), "vec")
+    found = knn.padded(knn.knn_join(_queries(e), index, 12), _queries(e), 12)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT count(*) AS rows, CAST(max(len(vec)) AS INTEGER) AS dim FROM vector_index")
+def index_size(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.index_size(table(spark, folder, "vector_index"))
+
+
 # ---- metrics and aggregates ---------------------------------------------------------------------------------------
 
 _ANNOTATED = "predicted_annotation NOT IN ('unknown', 'missing_embedding')"

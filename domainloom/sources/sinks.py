@@ -76,3 +76,8 @@ def read_index(spark: SparkSession, path: str | Path) -> DataFrame:
 def unknown_labels(index: DataFrame) -> DataFrame:
     """One row ``rows, unknown`` of an index."""
     return index.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == "unknown").alias("unknown"))
+
+
+def index_size(index: DataFrame) -> DataFrame:
+    """One row ``rows, dim``; the width is that of the widest vector, null for an empty index."""
+    return index.agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("vec").isNotNull(), F.size("vec"))).alias("dim"))
