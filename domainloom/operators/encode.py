@@ -75,20 +75,55 @@ def batches_of(lengths: list[int], max_residues: int, max_batch: int, max_seq_le
     return out
 
 
+def batch_runs(counts: list[tuple[int, int]], config: EncodeConfig) -> list[tuple[int, int, int, int]]:
+    """``(length, batch, head, each)`` of ``(length, items)`` pairs, longest first: the same batches as ``batches_of``, by runs.
+
+    Of the items of one length the first ``head`` go to ``batch`` and every
+    ``each`` after them to the next one.
+    """
+    out, batch, items, total = [], 0, 0, 0
+    for length, n in counts:
+        if length > config.max_seq_len:
+            head = each = 1
+        else:
+            fits = -(-(config.max_residues - total) // length) if length else n + config.max_batch
+            head = max(1, min(config.max_batch - items, fits))
+            each = max(1, min(config.max_batch, -(-config.max_residues // length) if length else config.max_batch))
+        out.append((length, batch, head, each))
+        if n < head:
+            items, total = items + n, total + n * length
+        else:
+            full, items = divmod(n - head, each)
+            batch, total = batch + 1 + full, items * length
+    return out
+
+
 def encoder_batches(sequences: DataFrame, config: EncodeConfig = EncodeConfig(), group: str = "file") -> DataFrame:
     """``sequences`` with ``batch`` per ``group``: longest first, ties by position, closed as ``batches_of`` says.
 
-    The order is the group's, so a group is folded by one task; it is a file of
-    sequences, and encoding runs over groups in parallel.
+    Only how many sequences a group has of each length decides where its batches
+    close, so the fold runs over that table, and the sequences themselves are
+    numbered range by range and look their batch up: a file of any size is no
+    single task.
     """
-    schema = T.StructType([*sequences.drop("batch").schema.fields, T.StructField("batch", T.IntegerType())])
+    counts = sequences.groupBy(group, "length").agg(F.count(F.lit(1)).alias("n"))
+    schema = T.StructType([T.StructField("_g", sequences.schema[group].dataType), *T._parse_datatype_string("_l int, _batch bigint, _head bigint, _each bigint").fields])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "pos"], ascending=[False, True], kind="stable")
-        pdf["batch"] = np.array(batches_of(pdf["length"].tolist(), config.max_residues, config.max_batch, config.max_seq_len), dtype=np.int32)
-        return pdf
+        pdf = pdf.sort_values("length", ascending=False)
+        runs = batch_runs([(int(x), int(n)) for x, n in zip(pdf["length"], pdf["n"])], config)
+        out = pd.DataFrame(runs, columns=["_l", "_batch", "_head", "_each"])
+        out.insert(0, "_g", pdf[group].iloc[0])
+        return out
 
-    return sequences.drop("batch").groupBy(group).applyInPandas(fold, schema)
+    runs = counts.groupBy(group).applyInPandas(fold, schema)
+    parts = max(1, int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col(group), F.col("length").desc(), F.col("pos")]
+    ordered = sequences.drop("batch").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = number_rows(ordered.withColumn("_run", F.concat_ws("\u0001", F.col(group).cast("string"), F.col("length").cast("string"))), "_run", "_n")
+    batch = F.when(F.col("_n") < F.col("_head"), F.col("_batch")).otherwise(F.col("_batch") + 1 + F.floor((F.col("_n") - F.col("_head")) / F.col("_each")))
+    joined = numbered.join(runs, F.col(group).eqNullSafe(F.col("_g")) & (F.col("length") == F.col("_l")))
+    return joined.withColumn("batch", batch.cast("int")).drop("_run", "_n", "_g", "_l", "_batch", "_head", "_each")
 
 
 def encode(sequences: DataFrame, make_encoder: Callable[[], Encoder], config: EncodeConfig = EncodeConfig()) -> DataFrame:

@@ -13,6 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import number_rows
+from .fasta import read_text
+
 METADATA = "metadata.json"
 TABLE = "embeddings.parquet"
 #: Names under which a sidecar may give a value (fixed values).
@@ -131,7 +134,7 @@ def import_arrays(spark: SparkSession, folder: str | Path, rows_per_part: int =
     """A store from ``embeddings.npy``, ``ids.txt`` and, if present, ``labels.npy``; nothing pickled is read.
 
     Executors map the array file and read their own rows, so the folder must be
-    shared; only ids pass through the driver's plan as text.
+    shared; ids are numbered range by range in file order.
     """
     p = Path(folder)
     shape = np.load(p / "embeddings.npy", mmap_mode="r", allow_pickle=False).shape
@@ -152,10 +155,11 @@ def import_arrays(spark: SparkSession, folder: str | Path, rows_per_part: int =
     parts = max(1, -(-shape[0] // rows_per_part))
     starts = spark.range(0, shape[0], rows_per_part, parts).select(F.col("id").alias("start")) if shape[0] else spark.range(0).select(F.col("id").alias("start"))
     vectors = starts.mapInPandas(read, "row_id bigint, embedding array<float>, label_idx bigint")
-    lines = [x.strip() for x in (p / "ids.txt").read_text().splitlines() if x.strip()]
-    if len(lines) != shape[0]:
-        raise ValueError(f"{len(lines)} ids for {shape[0]} vectors")
-    ids = spark.createDataFrame(list(enumerate(lines)), "row_id bigint, id string")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = read_ids(read_text(spark, [str(p / "ids.txt")]).select("pos", "line")).withColumn("_all", F.lit(0))
+    ids = number_rows(lines.repartitionByRange(parts, "pos").sortWithinPartitions("pos"), "_all", "row_id").select("row_id", "id")
+    if (found := ids.count()) != shape[0]:
+        raise ValueError(f"{found} ids for {shape[0]} vectors")
     return vectors.join(ids, "row_id").select("row_id", "id", "embedding", "label_idx")
 
 

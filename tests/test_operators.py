@@ -241,6 +241,17 @@ def test_batches_close_exactly_when_full(lengths, residues, items, longest):
         assert full(g) or b == len(groups) - 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=80), st.integers(1, 90), st.integers(1, 9), st.integers(0, 30))
+def test_runs_give_the_same_batches(lengths, residues, items, longest):
+    lengths = sorted(lengths, reverse=True)
+    config = encode.EncodeConfig(max_residues=residues, max_batch=items, max_seq_len=longest)
+    got = []
+    for length, batch, head, each in encode.batch_runs(sorted(Counter(lengths).items(), reverse=True), config):
+        got += [batch if i < head else batch + 1 + (i - head) // each for i in range(lengths.count(length))]
+    assert got == encode.batches_of(lengths, residues, items, longest)
+
+
 def test_formatting_and_pooling(spark):
     df = spark.createDataFrame([(0, "AUZOC"), (1, "")], "i int, s string")
     assert [r[0] for r in df.orderBy("i").select(encode.tokenizable(F.col("s"))).collect()] == ["<AA2fold> A X X X C", "<AA2fold> "]
