@@ -15,3 +15,25 @@ def test_query(spark, small, name):
         assert query(spark, small).count() >= 0
     else:
         assert compare(spark, connect(small), query, sql, small) == ""
+
+
+def test_recall_and_quality(spark, medium):
+    q = llm.queries()
+    recall = q["p4_recall"](spark, medium).first()
+    assert recall["recall"] >= 0.99
+    assert all(r["differing"] == 0 for r in q["p6_roundtrip"](spark, medium).collect())
+    assert all(r["filled"] > 0.97 and r["containers"] >= r["least"] for r in q["p7_fill"](spark, medium).collect())
+    shares = {r["assigned"]: r["count"] for r in q["p2_splits"](spark, medium).groupBy("assigned").count().collect()}
+    total = sum(shares.values())
+    assert abs(shares["train"] / total - 0.8) < 0.01 and abs(shares["val"] / total - 0.1) < 0.01
+
+
+def test_copies_share_a_class(spark, medium):
+    groups = llm.queries()["p1_groups"](spark, medium)
+    pairs = llm.queries()["p1_found"](spark, medium)
+    g = groups.select("row_id", "group")
+    a = pairs.join(g.withColumnRenamed("row_id", "row_id_a").withColumnRenamed("group", "ga"), "row_id_a")
+    both = a.join(g.withColumnRenamed("row_id", "row_id_b").withColumnRenamed("group", "gb"), "row_id_b")
+    assert both.where("ga <> gb").count() == 0 and both.count() == pairs.count()
+    in_pairs = pairs.select("row_id_a").union(pairs.select("row_id_b")).distinct().count()
+    assert groups.where("links > 0").count() == in_pairs
