@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import train
 from ..operators import annotate as ann
 from ..operators import encode, knn, losses, metrics, project, structure, vectors
 from ..session import table
@@ -244,6 +245,18 @@ def kmer_encode(spark: SparkSession, folder: str) -> DataFrame:
     return encode.as_store(encode.encode(seqs, encode.KmerEncoder)).select("row_id", "id", F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
 
 
+@query()
+def train_head(spark: SparkSession, folder: str) -> DataFrame:
+    """Two epochs over four fifths of the vectors, evaluated on the rest."""
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("vec_id").cast("string").alias("id"), "embedding", F.col("label").cast("bigint").alias("label_idx")
+    )
+    config = train.TrainConfig(hidden_dim=32, output_dim=16, max_epochs=2, warmup_epochs=1, batch_size=256)
+    result = train.fit(rows.where(F.col("row_id") % 5 != 0), rows.where(F.col("row_id") % 5 == 0), config=config)
+    history = [(h["epoch"], h["train_loss"], h["val_loss"], h["val_accuracy"]) for h in result.history]
+    return spark.createDataFrame(history, "epoch bigint, train_loss double, val_loss double, val_accuracy double")
+
+
 # ---- joins --------------------------------------------------------------------------------------------------------
 
 
@@ -270,6 +283,17 @@ def build_index_labels(spark: SparkSession, folder: str) -> DataFrame:
     return ann.index_labels(table(spark, folder, "vector_index"), labels.label_table(table(spark, folder, "label_text")))
 
 
+@query(SQL_LABELS + """
+, n AS (SELECT row_id, id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM vector_index WHERE vec IS NOT NULL)
+SELECT row_id, n.id, coalesce(l.label, 'unknown') AS label, round(v[1] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 5) AS first_value
+FROM n LEFT JOIN lab l ON n.id = l.id""")
+def build_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index's vectors normalized and labelled from the label lines."""
+    rows = table(spark, folder, "vector_index").where(F.col("vec").isNotNull()).select("row_id", "id", "vec")
+    index = sinks.build_index(rows, labels.label_table(table(spark, folder, "label_text")))
+    return index.select("row_id", "id", "label", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first_value"))
+
+
 @query(SQL_LABELS + """
 SELECT count(*) AS rows, CAST(count(*) FILTER (coalesce(l.label, 'unknown') = 'unknown') AS BIGINT) AS unknown FROM vector_index v LEFT JOIN lab l ON v.id = l.id""")
 def unknown_labels(spark: SparkSession, folder: str) -> DataFrame:
