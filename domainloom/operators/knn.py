@@ -27,6 +27,8 @@ from .vectors import as_double, dot, l2_normalize, matrix
 
 BROADCAST_BYTES = 256 * 2**20
 BLOCK_ROWS = 16_384
+#: Similarities computed at once by a worker (several copies of 8 bytes each are held).
+STEP = 2**22
 SCHEMA = "query_pos bigint, rank int, db_row bigint, similarity double, distance double"
 DIGITS = 10
 
@@ -79,7 +81,7 @@ def _block(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool) ->
         for pdf in batches:
             if not len(pdf) or not len(rows):
                 continue
-            step = max(1, 2**24 // len(rows))
+            step = max(1, STEP // len(rows))
             for i in range(0, len(pdf), step):
                 part = pdf.iloc[i : i + step]
                 pos = part["query_pos"].to_numpy()
@@ -103,7 +105,7 @@ def _two_phase(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool,
             return _frame(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
         pos, ids = left["query_pos"].to_numpy(), right["row_id"].to_numpy()
         m, d = matrix(left["vec"]), matrix(right["vec"])
-        step = max(1, 2**24 // len(ids))
+        step = max(1, STEP // len(ids))
         parts = []
         for i in range(0, len(pos), step):
             own = pos[i : i + step]
