@@ -28,6 +28,11 @@ def test_recall_and_quality(spark, medium):
     assert abs(shares["train"] / total - 0.8) < 0.01 and abs(shares["val"] / total - 0.1) < 0.01
 
 
+def test_every_row_has_its_five_nearest(spark, medium):
+    recall = llm.queries()["p4_recall"](spark, medium).first()
+    assert recall["full_neighbours"] > recall["true_neighbours"] and recall["full_recall"] == 1.0
+
+
 def test_copies_share_a_class(spark, medium):
     groups = llm.queries()["p1_groups"](spark, medium)
     pairs = llm.queries()["p1_found"](spark, medium)

@@ -216,6 +216,35 @@ def test_nearest_among_many_copies(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: [j for j in range(7) if j != i][:5] for i in range(30)}
 
 
+def test_top_rows_over_several_blocks(monkeypatch):
+    monkeypatch.setattr(mpknn, "ANSWERING", 32)
+    m = near_data(12).astype(float)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids = np.arange(len(u)) * 3
+    q, found, s = mpknn.top_rows(u, ids, u, u.astype(np.float32), ids, 5)
+    want = np.round(u @ u.T, mpknn.DIGITS)
+    np.fill_diagonal(want, -np.inf)
+    assert (q == np.repeat(np.arange(len(u)), 5)).all() and (ids[q] != found).all()
+    assert np.allclose(s.reshape(-1, 5), -np.sort(-want, axis=1)[:, :5], atol=1e-9)
+
+
+@pytest.mark.parametrize("chunk_rows", [10**6, 60])
+def test_nearest_without_cutoff_gives_k_at_any_distance(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(mpknn.closest, "__defaults__", (DIM, chunk_rows))
+    m = near_data(11)
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in mpknn.nearest(frame(spark, m, BAD).drop("vec").withColumnRenamed("embedding", "vec"), cutoff=None).collect():
+        got.setdefault(r["row_id"], {})[r["rank"]] = (r["nn_row_id"], r["distance"])
+    assert set(got) == set(range(len(m)))
+    for i, mine in got.items():
+        assert sorted(mine) == [1, 2, 3, 4, 5] and len({x[0] for x in mine.values()} - {i}) == 5
+        assert np.allclose([mine[k][1] for k in range(1, 6)], np.sort(d[i])[:5], atol=1e-6)
+    assert mpknn.nearest(frame(spark, m[:0]).drop("vec").withColumnRenamed("embedding", "vec"), cutoff=None).count() == 0
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_spanning_forest(spark, seed):
     rng = np.random.default_rng(seed)
