@@ -125,21 +125,26 @@ class Tokenizer:
         return np.ascontiguousarray(bits).view(np.int64)
 
 
-def copy_key(unit: np.ndarray) -> list[bytes]:
-    """A key that vectors of the same direction share (up to rounding, which at worst splits a group of copies)."""
-    q = np.ascontiguousarray(np.round(unit * 2**14).astype(np.int16))
+def copy_key(unit: np.ndarray, exact: bool = False) -> list[bytes]:
+    """A key that vectors of the same direction share.
+
+    Components are rounded to 2^-14: different vectors closer than that may share a
+    key too, which only a threshold far beyond it allows.  With ``exact`` none do; a
+    multiple whose stored values were rounded is then a vector of its own.
+    """
+    q = np.ascontiguousarray(unit + 0.0 if exact else np.round(unit * 2**14).astype(np.int16))
     return [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in q]
 
 
-def with_copy_key(vectors: DataFrame, id_col: str, vec_col: str, *keep: str, dim: int = DIM) -> DataFrame:
-    """``id_col, *keep, copy binary, vec array<float>`` of the usable vectors; ``vec`` holds the stored values."""
+def with_copy_key(vectors: DataFrame, id_col: str, vec_col: str, *keep: str, dim: int = DIM, exact: bool = False) -> DataFrame:
+    """``id_col, *keep, copy binary, vec array<float>`` of the usable vectors; ``vec`` holds the stored values, ``exact`` is as in ``copy_key``."""
     base = vectors.where(usable(F.col(vec_col), dim)).select(id_col, *keep, F.col(vec_col).alias("vec"))
     kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[[id_col, *keep, "vec"]].copy()
-            out["copy"] = copy_key(matrix(pdf["vec"], dim))
+            out["copy"] = copy_key(matrix(pdf["vec"], dim), exact)
             yield out
 
     return base.mapInPandas(run, f"{kinds}, vec array<float>, copy binary")

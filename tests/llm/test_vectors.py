@@ -216,6 +216,19 @@ def test_nearest_among_many_copies(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: [j for j in range(7) if j != i][:5] for i in range(30)}
 
 
+@pytest.mark.parametrize("cutoff", [0.08, None])
+def test_almost_copies_keep_their_own_distances(spark, cutoff):
+    m = np.repeat(np.random.default_rng(5).normal(size=(1, DIM)), 4, axis=0)
+    m /= np.linalg.norm(m[0])
+    m[1, 0] += 2e-6
+    m[2, 0] += 0.05
+    m[3, 0] -= 0.05
+    m = m.astype(np.float32)
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    rows = mpknn.nearest(frame(spark, m).drop("vec").withColumnRenamed("embedding", "vec"), cutoff=cutoff).collect()
+    assert len(rows) == 12 and all(abs(r["distance"] - (1 - u[r["row_id"]] @ u[r["nn_row_id"]])) < 1e-9 for r in rows)
+
+
 def test_top_rows_over_several_blocks(monkeypatch):
     monkeypatch.setattr(mpknn, "ANSWERING", 32)
     m = near_data(12).astype(float)
