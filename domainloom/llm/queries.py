@@ -11,6 +11,7 @@ from ..plans.scale import SQL_RECORDS, records_with_superfamily
 from ..session import table
 from ..sources.reports import parameter
 from . import mpknn, neardup, overlap, packing, spam, splits, tokens
+from .components import spanning_forest
 from .vectokens import usable
 
 
@@ -72,6 +73,12 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return p2_records(spark, folder).select("row_id", F.col("superfamily").alias("label_idx"), "root", "assigned")
 
 
+def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The spanning forest of superfamilies and domains that the components of ``p2_splits`` are contracted along."""
+    records = records_with_superfamily(spark, folder).select("superfamily", "domain")
+    return spanning_forest(splits.tie_edges(records, ["superfamily", "domain"]))[0]
+
+
 def _exact(spark: SparkSession, folder: str, strategy: str = "auto") -> DataFrame:
     """The 5 nearest of every row whose id is divisible by 100, against all usable rows, in blocks."""
     rows = table(spark, folder, "vector_index").select("row_id", "vec").where(usable(F.col("vec")))
@@ -135,7 +142,7 @@ def p8_assessed(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest,
         "p3_found": p3_found, "p3_report": p3_report,
         "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_nearest": p4_nearest, "p4_knn": p4_knn, "p4_recall": p4_recall,
         "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_packed": p7_packed, "p7_fill": p7_fill,

@@ -16,6 +16,21 @@ LARGE_SHARE = 2000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
+def _node(key: str) -> Column:
+    return F.when(F.col(key).isNotNull(), F.concat(F.lit(f"{key}:"), F.col(key).cast("string")))
+
+
+def tie_edges(records: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``a, b, w``: the key values that records have together, with minus their number as weight; None for a single key."""
+    edges = None
+    for other in keys[1:]:
+        # every key is tied to the record's first key, or, where that is null, to the first one it has
+        first = F.coalesce(*[_node(k) for k in keys[: keys.index(other)]])
+        pair = records.select(first.alias("a"), _node(other).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        edges = pair if edges is None else edges.union(pair)
+    return None if edges is None else edges.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("w"))
+
+
 def related(records: DataFrame, keys: list[str], id_col: str = "row_id", forest_path: str | None = None) -> DataFrame:
     """``records`` with ``root``: the same for all records that share a value of any of ``keys``, directly or through others.
 
@@ -25,19 +40,10 @@ def related(records: DataFrame, keys: list[str], id_col: str = "row_id", forest_
     ``forest_path`` it is kept there as ``a, b, w``.  Null keys tie nothing; a
     record without any key is an entity of its own.
     """
-    def node(key: str) -> Column:
-        return F.when(F.col(key).isNotNull(), F.concat(F.lit(f"{key}:"), F.col(key).cast("string")))
-
-    edges = None
-    for other in keys[1:]:
-        # every key is tied to the record's first key, or, where that is null, to the first one it has
-        first = F.coalesce(*[node(k) for k in keys[: keys.index(other)]])
-        pair = records.select(first.alias("a"), node(other).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        edges = pair if edges is None else edges.union(pair)
-    own = F.coalesce(*[node(k) for k in keys], F.concat(F.lit("row:"), F.col(id_col).cast("string")))
-    if edges is None:
+    own = F.coalesce(*[_node(k) for k in keys], F.concat(F.lit("row:"), F.col(id_col).cast("string")))
+    weighted = tie_edges(records, keys)
+    if weighted is None:
         return records.withColumn("root", own)
-    weighted = edges.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("w"))
     forest, roots = spanning_forest(weighted)
     if forest_path:
         forest.write.mode("overwrite").parquet(forest_path)

@@ -33,6 +33,24 @@ def test_every_row_has_its_five_nearest(spark, medium):
     assert recall["full_neighbours"] > recall["true_neighbours"] and recall["full_recall"] == 1.0
 
 
+def test_forest_spans_the_components(spark, small):
+    q = llm.queries()
+    edges = [(r["a"], r["b"]) for r in q["p2_forest"](spark, small).collect()]
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        assert find(a) != find(b)
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert edges
+    for r in q["p2_splits"](spark, small).where("label_idx IS NOT NULL").collect():
+        assert find(f"superfamily:{r['label_idx']}") == r["root"]
+
+
 def test_copies_share_a_class(spark, medium):
     groups = llm.queries()["p1_groups"](spark, medium)
     pairs = llm.queries()["p1_found"](spark, medium)
