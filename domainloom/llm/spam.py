@@ -55,7 +55,9 @@ _URL = re.compile(
     r"(?i)(?:h(?:tt|xx)ps?://|www\.)\S+|\b[\w-]+(?:\[?\.\]?[\w-]+)*\[?\.\]?(?:example|test|invalid|com|org|net|info|biz|shop)\b(?:/\S*)?"
     r"|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}/\S+"
 )
-_ANCHOR = re.compile(r"(?is)<a\s[^>]{0,500}?href\s*=\s*[\"']?([^\"'>\s]{0,400})[^>]{0,500}>([^<]{0,500})</a>")
+_OPEN = re.compile(r"(?i)<a\s")
+_HREF = re.compile(r"(?i)href\s*=\s*[\"']?([^\"'>\s]*)")
+_CLOSE = re.compile(r"(?i)</a\s*>")
 _BREAK = re.compile(r"(?i)</?(?:br|p|div|li|tr|h[1-6]|ul|ol|table)\b[^>]{0,200}>")
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
@@ -81,10 +83,37 @@ _KANA = re.compile(r"[぀-ヿ]")
 _EDGE = ".,;:!?()[]{}\"'“”„«»…-–—*|/>»•·¿¡"
 
 
+def _anchors(text: str) -> str:
+    """``[label](link)`` for every anchor, of any length and with markup in its label; of one that is not closed, ``(link)``.
+
+    Each place is searched a fixed number of times, so long texts of open tags take linear time.
+    """
+    out, at, closing, more = [], 0, None, True
+    opening = _OPEN.search(text)
+    while opening:
+        end = text.find(">", opening.end())
+        if end < 0:
+            break
+        following = _OPEN.search(text, end)
+        if href := _HREF.search(text, opening.end() - 1, end):
+            if more and (closing is None or closing.start() < end):
+                closing = _CLOSE.search(text, end)
+                more = closing is not None
+            out.append(text[at : opening.start()])
+            if more and not (following and following.start() < closing.start()):
+                out.append(f"[{_TAG.sub(' ', text[end + 1 : closing.start()])}]({href[1]})")
+                at = closing.end()
+            else:
+                out.append(f"({href[1]}) ")
+                at = end + 1
+        opening = following
+    return "".join(out) + text[at:]
+
+
 def plain(text: str) -> str:
     """The text as a reader sees it: entities and markup resolved, hidden characters gone, look-alike letters in Latin."""
     text = html.unescape(text)
-    text = _ANCHOR.sub(r"[\2](\1)", text)
+    text = _anchors(text)
     text = _TAG.sub(" ", _BREAK.sub("\n", text))
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))

@@ -172,3 +172,12 @@ def test_assessed(spark):
     assert spam.assessed(df.limit(0)).count() == 0
     alone = spam.assessed(df.where("doc_id = 1000 or doc_id = 2000")).collect()
     assert {r["doc_id"]: r["spam"] for r in alone} == {1000: True, 2000: False}
+
+
+@pytest.mark.parametrize("anchor", ['<a href="http://shop.example/{i}"><b>Kinase {i}</b> <i>Deals</i></a>', '<a href="http://shop.example/{i}/' + "x" * 1200 + '">Kinase Deals</a>', '<a href="http://shop.example/{i}">' + "kinase " * 90 + "</a>"])
+def test_links_of_nested_and_long_anchors_are_kept(anchor):
+    from domainloom.llm.spam import assess, plain
+
+    text = "\n".join(anchor.format(i=i) for i in range(8))
+    assert plain(text).count("](http://shop.example/") == 8
+    assert assess(text)[3][0] > 0 and assess(text)[2] > 0.5
