@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import train
+from ..functions.ids import split_of
 from ..operators import annotate as ann
 from ..operators import encode, knn, losses, metrics, project, structure, vectors
-from ..session import table
+from ..session import stage, table
 from ..sources import fasta, labels, sinks, store
 from ..sources.reports import parameter
 from .scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
@@ -257,6 +258,17 @@ def train_head(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(history, "epoch bigint, train_loss double, val_loss double, val_accuracy double")
 
 
+@query()
+def train_head_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A run with the default configuration over the labelled usable vectors of the store: rows of train, evaluated on those of val."""
+    v = F.col("embedding")
+    whole = (F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    rows = stage(table(spark, folder, "embedding_store").where(F.coalesce(whole, F.lit(False)) & F.col("label_idx").isNotNull()).select("row_id", "id", "embedding", "label_idx", split_of(F.col("split")).alias("_s")))
+    result = train.fit(rows.where("_s = 'train'").drop("_s"), rows.where("_s = 'val'").drop("_s"))
+    history = [(h["epoch"], h["train_loss"], h["val_loss"], h["val_accuracy"]) for h in result.history]
+    return spark.createDataFrame(history, "epoch bigint, train_loss double, val_loss double, val_accuracy double")
+
+
 # ---- joins --------------------------------------------------------------------------------------------------------
 
 

@@ -127,3 +127,17 @@ def test_stream(spark, tmp_path):
     annotate_stream(stream, index, str(tmp_path / "out"), str(tmp_path / "cp"), trigger_once=True).awaitTermination(120)
     got = {r["query_id"]: r["predicted_annotation"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": "A", "b": "missing_embedding"}
+
+
+def test_store_training_is_the_whole_run(spark, small, monkeypatch):
+    from domainloom.plans import catalogue
+
+    seen = {}
+
+    def fit(rows, val, tests=None, config=train.TrainConfig(), out=None):
+        seen.update(rows=rows.count(), val=val.count(), config=config)
+        return train.Result(None, [{"epoch": 0, "train_loss": 0.0, "val_loss": 0.0, "val_accuracy": 0.0}])
+
+    monkeypatch.setattr(train, "fit", fit)
+    assert catalogue.queries()["train_head_store"](spark, small).count() == 1
+    assert seen["config"] == train.TrainConfig() and seen["rows"] > seen["val"] > 0
