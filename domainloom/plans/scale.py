@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import superfamily_profiles
+from ..operators.skew import number_rows, superfamily_profiles
 from ..session import table
 from ..sources.labels import with_superfamily
 from ..sources.reports import parameter
@@ -35,6 +35,14 @@ def p5_superfamilies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def numbered_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows numbered in ``row_id`` order within nullable keys of 60 bits, beside a nullable value of 60 bits."""
+    wide = lambda c: F.lit(2**60) + F.col(c)
+    rows = table(spark, folder, "embedding_store").select("row_id", wide("label_idx").alias("wide_key"), F.when(F.col("row_id") % 3 != 0, wide("row_id")).alias("wide_value"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return number_rows(rows.repartitionByRange(parts, "row_id").sortWithinPartitions("row_id"), "wide_key", "place")
+
+
 #: SQL of a record's domain and superfamily, shared by the queries that need it.
 SQL_RECORDS = r"""
 WITH tok AS (
@@ -78,11 +86,14 @@ params AS (
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_superfamilies": p5_superfamilies}
+    return {"p5_found": p5_found, "p5_superfamilies": p5_superfamilies, "numbered_rows": numbered_rows}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "numbered_rows": """
+SELECT row_id, 1152921504606846976 + label_idx AS wide_key, CASE WHEN row_id % 3 <> 0 THEN 1152921504606846976 + row_id END AS wide_value,
+       row_number() OVER (PARTITION BY label_idx ORDER BY row_id) - 1 AS place FROM embedding_store""",
         "p5_found": SQL_RECORDS + SQL_PARAMETERS + """
 SELECT superfamily AS label_idx FROM sf WHERE superfamily IS NOT NULL GROUP BY 1
 HAVING count(*) > (SELECT value FROM params WHERE item = 'max_sf_size')""",

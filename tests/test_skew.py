@@ -21,6 +21,48 @@ def test_numbers_follow_partition_order_and_replace_the_column(spark):
     assert got == {i: i // 2 for i in range(100)}
 
 
+def _wide_rows(seed: int, n: int) -> list[tuple]:
+    """Rows of nullable keys and values near and beyond 2^53, many of them neighbours that a double cannot tell apart."""
+    rng = np.random.default_rng(seed)
+    pool = [None, 0, -1, 2**53, 2**53 + 1, 2**60 + 3, 2**60 + 4, 2**63 - 1, -(2**63)]
+    pick = lambda: pool[rng.integers(len(pool))]
+    return [(i, pick(), pick()) for i in range(n)]
+
+
+def test_large_integers_beside_nulls_stay_as_they_are(spark):
+    for seed, parts in ((1, 1), (2, 3), (3, 8)):
+        rows = _wide_rows(seed, 400)
+        df = spark.createDataFrame(rows, "i bigint, k bigint, v bigint").repartition(parts)
+        got = [tuple(r) for r in number_rows(df, "k", "n").collect()]
+        assert sorted(r[0] for r in got) == list(range(400))
+        assert {r[0]: r[1:3] for r in got} == {i: (k, v) for i, k, v in rows}
+        for key in {r[1] for r in rows}:
+            assert sorted(r[3] for r in got if r[1] == key) == list(range(sum(r[1] == key for r in rows)))
+
+
+def test_every_type_passes(spark):
+    import datetime
+    import decimal
+
+    rows = [(float("nan"), b"\x00", datetime.datetime(2024, 1, 2, 3, 4, 5, 6), datetime.date(1, 1, 1), decimal.Decimal("12345678901234567890.12"), [2**60 + 1, None], {"a": 2**61 + 1}, (None, True), "x"),
+            (None, None, None, None, None, None, None, None, None), (float("nan"), b"", None, None, None, [], {}, (2**62 + 1, None), "")]
+    kinds = "d double, b binary, t timestamp, day date, m decimal(22,2), a array<bigint>, p map<string,bigint>, s struct<x:bigint,y:boolean>, c string"
+    df = spark.createDataFrame(rows, kinds).coalesce(1)
+    for key in ("d", "c", "b", "t", "m"):
+        got = number_rows(df, key, "n")
+        assert [repr(tuple(r)) for r in got.drop("n").collect()] == [repr(tuple(r)) for r in df.collect()]
+    assert [r["n"] for r in number_rows(df, "d", "n").collect()] == [0, 0, 1]
+
+
+def test_large_keys_are_chunked_apart(spark):
+    rows = [(k, i) for i in range(60) for k in (None, 2**60 + 3, 2**60 + 4)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint").repartition(4)
+    count = lambda p, g: pd.DataFrame({"n": np.bincount(g)})
+    add = lambda p, g: pd.DataFrame({"n": np.bincount(g, p["n"]).astype(int)})
+    got = {r["k"]: r["n"] for r in chunked_by_key(df, "k", count, add, "n bigint", chunk_rows=7, fan_in=2).collect()}
+    assert got == {None: 60, 2**60 + 3: 60, 2**60 + 4: 60}
+
+
 def test_without_broadcast(spark, monkeypatch):
     from domainloom.operators import skew
 
