@@ -41,7 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     set_before = getattr(spark.sparkContext, "_domainloom_dir", None)
     if set_before:
         return set_before
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="domainloom-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -63,7 +64,19 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._domainloom_path = path
+    return out
+
+
+def dropped(*staged: DataFrame) -> None:
+    """Removes the files of ``stage``'s tables that nothing will read any more; other DataFrames are left alone."""
+    for df in staged:
+        path = getattr(df, "_domainloom_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
