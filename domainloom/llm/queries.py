@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import domain_of, split_of
 from ..operators.knn import knn_join
 from ..plans.scale import SQL_RECORDS, records_with_superfamily
-from ..session import table
+from ..session import checkpoint_dir, stage, table
 from ..sources.reports import parameter
 from . import mpknn, neardup, overlap, packing, spam, splits, tokens
-from .components import spanning_forest
+from .components import forest_edges
 from .vectokens import usable
 
 
@@ -62,7 +64,12 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     records = records_with_superfamily(spark, folder, "split").select(
         "row_id", "domain", "superfamily", split_of(F.col("split")).alias("delivered")
     )
-    return splits.assign_splits(records, ["superfamily", "domain"], fractions, seed=seed)
+    return splits.assign_splits(records, ["superfamily", "domain"], fractions, seed=seed, forest_path=_forest_path(spark, folder))
+
+
+def _forest_path(spark: SparkSession, folder: str) -> str:
+    """Where the forest of a folder's tables is kept: in the shared folder, beyond the application that writes it."""
+    return f"{checkpoint_dir(spark)}/domainloom/forest/{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,9 +81,28 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
-    """The spanning forest of superfamilies and domains that the components of ``p2_splits`` are contracted along."""
-    records = records_with_superfamily(spark, folder).select("superfamily", "domain")
-    return spanning_forest(splits.tie_edges(records, ["superfamily", "domain"]))[0]
+    """The spanning forest of superfamilies and domains, read from where the assignment of ``p2_splits`` keeps it."""
+    p2_records(spark, folder)
+    path = _forest_path(spark, folder)
+    return forest_edges(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/forest"))
+
+
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split: records assigned; whether their share is within a hundredth of the asked one; superfamilies and domains that another split has too."""
+    rows = stage(p2_records(spark, folder).select("superfamily", "domain", "assigned"))
+    reports = table(spark, folder, "split_summary")
+    fractions = {s: parameter(reports, f"{s}_fraction") for s in ("train", "val", "test")}
+
+    def torn(key: str) -> int:
+        several = rows.where(F.col(key).isNotNull()).groupBy(key, "assigned").agg(F.lit(1).alias("_one")).groupBy(key).agg(F.count("_one").alias("_n"))
+        return several.where(F.col("_n") > 1).count()
+
+    asked = F.element_at(F.create_map(*[F.lit(x) for s, f in fractions.items() for x in (s, f / sum(fractions.values()))]), F.col("assigned"))
+    n, all_ = F.count(F.lit(1)), F.lit(rows.count())
+    return rows.groupBy("assigned").agg(n.alias("_n")).select(
+        "assigned", all_.alias("records_of_all_splits"), (F.abs(F.col("_n") / all_ - asked) <= 0.01).alias("share_kept"),
+        F.lit(torn("superfamily")).alias("torn_superfamilies"), F.lit(torn("domain")).alias("torn_domains"),
+    )
 
 
 def _exact(spark: SparkSession, folder: str, strategy: str = "auto") -> DataFrame:
@@ -142,7 +168,7 @@ def p8_assessed(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_check": p2_check,
         "p3_found": p3_found, "p3_report": p3_report,
         "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_nearest": p4_nearest, "p4_knn": p4_knn, "p4_recall": p4_recall,
         "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_packed": p7_packed, "p7_fill": p7_fill,
@@ -180,6 +206,9 @@ WITH {_unit_sql('embedding_store', 'embedding', '')}
 SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM unit a JOIN unit b ON a.row_id < b.row_id WHERE list_inner_product(a.u, b.u) >= 0.97""",
         "p2_found": SQL_RECORDS + f""", {split}
 SELECT superfamily AS label_idx FROM placed WHERE superfamily IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+        "p2_check": """
+SELECT s AS assigned, (SELECT count(*) FROM embedding_store) AS records_of_all_splits, TRUE AS share_kept, 0 AS torn_superfamilies, 0 AS torn_domains
+FROM (VALUES ('train'), ('val'), ('test')) t(s)""",
         "p3_found": SQL_RECORDS + f""", {split}, {_unit_sql('placed', 'embedding', 's,')},
 pairs AS (
   SELECT a.row_id AS e, b.row_id AS t FROM unit a JOIN unit b ON a.s <> 'train' AND b.s = 'train' WHERE list_inner_product(a.u, b.u) >= 0.97

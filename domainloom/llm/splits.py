@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import number_rows
 from ..session import stage
-from .components import spanning_forest
+from .components import contract, named_roots
 
-#: Components of at least a 1/``LARGE_SHARE`` of all records are dealt one by one; there are at most that many.
-LARGE_SHARE = 2000
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Hands that the components of a size band are dealt into.
+HANDS = 256
 
 
 def _node(key: str) -> Column:
@@ -37,60 +34,67 @@ def related(records: DataFrame, keys: list[str], id_col: str = "row_id", forest_
     The graph's nodes are key values, an edge joins two values that one record
     has, and its weight is minus the number of such records, so the contraction
     takes the strongest ties first.  The spanning forest is a written table; with
-    ``forest_path`` it is kept there as ``a, b, w``.  Null keys tie nothing; a
-    record without any key is an entity of its own.
+    ``forest_path`` it is kept there (``nodes``: ``node, n``; ``forest``: ``a, b, w``
+    by these numbers).  Null keys tie nothing; a record without any key is an
+    entity of its own.
     """
     own = F.coalesce(*[_node(k) for k in keys], F.concat(F.lit("row:"), F.col(id_col).cast("string")))
     weighted = tie_edges(records, keys)
     if weighted is None:
         return records.withColumn("root", own)
-    forest, roots = spanning_forest(weighted)
-    if forest_path:
-        forest.write.mode("overwrite").parquet(forest_path)
+    nodes, _, roots = contract(stage(weighted), forest_path)
     named = records.drop("root").withColumn("_node", own)
-    return named.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
+    return named.join(named_roots(nodes, roots).withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
+
+
+def hand_plan(hands: list[tuple[int, int, int]], fractions: dict[str, float]) -> dict[tuple[int, int], str]:
+    """The split of every ``(band, hand, records)``.
+
+    Bands go from the largest components to the smallest.  Within one, the hands
+    are laid end to end by their records, the line is cut in proportion to what
+    each split still lacks, and a hand goes to the split that its middle lies in:
+    a systematic deal, whose error in one band is made up for in the next.
+    """
+    whole = sum(fractions.values())
+    total = sum(n for _, _, n in hands)
+    lack = {s: f / whole * total for s, f in fractions.items()}
+    out: dict[tuple[int, int], str] = {}
+    for band in sorted({b for b, _, _ in hands}, reverse=True):
+        inside = sorted((h, n) for b, h, n in hands if b == band)
+        line = sum(n for _, n in inside)
+        open_ = {s: max(v, 0.0) for s, v in lack.items()}
+        scale = line / (sum(open_.values()) or 1.0)
+        ends, reached = [], 0.0
+        for s, v in open_.items():
+            reached += v * scale
+            ends.append((reached, s))
+        at = 0
+        for h, n in inside:
+            to = next((s for end, s in ends if at + n / 2 < end), ends[-1][1])
+            out[band, h] = to
+            lack[to] -= n
+            at += n
+    return out
 
 
 def deal(sizes: DataFrame, fractions: dict[str, float], seed: int = 0) -> DataFrame:
     """``root, assigned`` for ``sizes (root, n)``: whole components dealt to the splits in proportion ``fractions``.
 
-    Components are stratified by size band (powers of two).  The few large ones
-    are dealt from the largest band down, each to the split that is furthest
-    behind.  Within every band of the others, components in an order drawn by
-    ``seed`` go to the splits systematically: the k-th takes the point k x 0.618...
-    (mod 1) of the interval divided by what the splits still lack.
+    Components are stratified by size band (powers of two).  In every band, in an
+    order drawn by ``seed``, they are dealt round into ``HANDS`` hands, the k-th
+    into hand k mod ``HANDS``, and ``hand_plan`` gives the hands to splits.  The
+    driver sees the records of each hand only, at most 64 x ``HANDS`` numbers
+    however many components there are.
     """
-    total_of = sum(fractions.values())
-    names = list(fractions)
-    share = {s: fractions[s] / total_of for s in names}
     order = F.xxhash64(F.lit(seed), F.col("root"))
-    banded = stage(sizes.select("root", "n", F.floor(F.log2("n") + 1e-12).cast("int").alias("band"), order.alias("_h")))
-    total = banded.agg(F.sum("n")).first()[0] or 0
-    large_cut = F.col("n") * LARGE_SHARE >= total
-    lack = {s: share[s] * total for s in names}
-    placed = []
-    # at most LARGE_SHARE rows: their sizes add up to no more than the total
-    for root, n, *_ in sorted(banded.where(large_cut).collect(), key=lambda r: (-r.band, -r.n, r._h, r.root)):
-        to = max(names, key=lambda s: lack[s])
-        lack[to] -= n
-        placed.append((root, to))
+    banded = sizes.select("root", "n", F.floor(F.log2("n") + 1e-12).cast("int").alias("band"), order.alias("_h"))
     spark = sizes.sparkSession
-    large = spark.createDataFrame(placed, "root string, assigned string")
-    left = {s: max(v, 0.0) for s, v in lack.items()}
-    whole = sum(left.values()) or 1.0
-    if not any(left.values()):
-        left, whole = share, 1.0
-    small = banded.where(~large_cut)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranked = number_rows(small.repartitionByRange(parts, "band", "_h").sortWithinPartitions("band", "_h", "root"), "band", "_k")
-    point = (F.col("_k") + 0.5) * GOLDEN + F.col("band") * GOLDEN
-    point = point - F.floor(point)
-    choice, reached = None, 0.0
-    for s in names[:-1]:
-        reached += left[s] / whole
-        choice = F.when(point < reached, s) if choice is None else choice.when(point < reached, s)
-    choice = F.lit(names[-1]) if choice is None else choice.otherwise(names[-1])
-    return ranked.select("root", choice.alias("assigned")).union(large)
+    dealt = number_rows(banded.repartitionByRange(parts, "band", "_h").sortWithinPartitions("band", "_h", "root"), "band", "_k").withColumn("hand", (F.col("_k") % HANDS).cast("int"))
+    sums = dealt.groupBy("band", "hand").agg(F.sum("n").alias("n")).collect()
+    plan = hand_plan([(r["band"], r["hand"], r["n"]) for r in sums], fractions)
+    to = spark.createDataFrame([(b, h, s) for (b, h), s in plan.items()], "band int, hand int, assigned string")
+    return dealt.join(F.broadcast(to), ["band", "hand"]).select("root", "assigned")
 
 
 def assign_splits(records: DataFrame, keys: list[str], fractions: dict[str, float], id_col: str = "row_id", seed: int = 0, forest_path: str | None = None) -> DataFrame:

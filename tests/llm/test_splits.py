@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from domainloom.llm.splits import assign_splits, deal, divided, related
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ def records(spark, n=3000, seed=0):
 def test_related_records_stay_together(spark, tmp_path):
     df = records(spark)
     rows = assign_splits(df, ["superfamily", "domain"], FRACTIONS, forest_path=str(tmp_path / "forest")).collect()
-    assert len(rows) == 3000 and spark.read.parquet(str(tmp_path / "forest")).count() > 0
+    kept = {name: spark.read.parquet(str(tmp_path / "forest" / name)) for name in ("nodes", "forest")}
+    tied = {r["root"] for r in rows if r["superfamily"] is not None and r["domain"] is not None}
+    assert len(rows) == 3000 and kept["forest"].count() == kept["nodes"].count() - len(tied)
     for key in ("superfamily", "domain"):
         by = defaultdict(set)
         for r in rows:
@@ -57,6 +60,48 @@ def test_edge_cases(spark):
     assert {r["assigned"] for r in assign_splits(df.limit(20), ["superfamily"], {"all": 3.0}).collect()} == {"all"}
 
 
+def test_hands_follow_the_fractions_whatever_the_sizes():
+    from domainloom.llm.splits import hand_plan
+
+    hands = [(17, 0, 200_000), (15, 0, 60_000), (15, 1, 50_000), (14, 0, 30_000), (14, 1, 20_000), (14, 2, 17_000)]
+    hands += [(b, h, 2**b * 3) for b in range(10) for h in range(256)]
+    plan = hand_plan(hands, FRACTIONS)
+    got = Counter()
+    for b, h, n in hands:
+        got[plan[b, h]] += n
+    assert all(abs(got[s] / sum(got.values()) - f) < 0.002 for s, f in FRACTIONS.items())
+    assert hand_plan([], FRACTIONS) == {} and set(hand_plan([(3, 0, 9)], FRACTIONS).values()) == {"train"}
+
+
+@pytest.mark.parametrize("finish", [0, 40, 10**6])
+def test_forest_is_the_least_one(spark, finish):
+    from domainloom.llm.components import spanning_forest
+
+    rng = np.random.default_rng(5)
+    edges = [(f"n{int(a)}", f"n{int(b)}", int(w)) for a, b, w in zip(rng.integers(0, 300, 500), rng.integers(0, 300, 500), rng.integers(0, 6, 500))]
+    df = spark.createDataFrame([*edges, (None, "n1", 0), ("n1", "n1", -9), edges[0]], "a string, b string, w bigint")
+    forest, roots = spanning_forest(df, finish)
+    up: dict[str, str] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    want = set()
+    least: dict[tuple[str, str], int] = {}
+    for a, b, w in edges:
+        if a != b:
+            least[min(a, b), max(a, b)] = min(w, least.get((min(a, b), max(a, b)), w))
+    for (a, b), w in sorted(least.items(), key=lambda e: (e[1], e[0])):
+        x, y = find(a), find(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            want.add((a, b, w))
+    assert {tuple(r) for r in forest.collect()} == want
+    assert {r["node"]: r["root"] for r in roots.collect()} == {x: find(x) for x in up}
+
+
 def test_divided(spark):
     df = records(spark, 600)
     rows = [(r["superfamily"], r["delivered"]) for r in df.collect()]
