@@ -11,7 +11,7 @@ from ..operators import annotate as ann
 from ..operators import encode, knn, losses, metrics, project, structure, vectors
 from ..session import stage, table
 from ..sources import fasta, labels, sinks, store
-from ..sources.reports import parameter
+from ..sources.reports import parameters
 from .scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
 
 SQL: dict[str, str] = {}
@@ -599,8 +599,8 @@ WHERE records BETWEEN (SELECT value FROM params WHERE item = 'min_sf_size') AND
 ORDER BY superfamily LIMIT (SELECT CAST(value AS BIGINT) FROM params WHERE item = 'holdout_sf_count')""")
 def holdout_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Hold-out classes: sizes within the range in force, as many as it asks for, in order of their index instead of a draw."""
-    reports = table(spark, folder, "split_summary")
-    least, most, n = (parameter(reports, p) for p in ("min_sf_size", "max_sf_size", "holdout_sf_count"))
+    now = parameters(table(spark, folder, "split_summary"))
+    least, most, n = (now[p] for p in ("min_sf_size", "max_sf_size", "holdout_sf_count"))
     sizes = records_with_superfamily(spark, folder).where(F.col("superfamily").isNotNull()).groupBy("superfamily").agg(F.count(F.lit(1)).alias("records"))
     return sizes.where(F.col("records").between(least, most)).orderBy("superfamily").limit(int(n))
 

@@ -24,11 +24,15 @@ def in_force(split_summary: DataFrame) -> DataFrame:
     return rows.groupBy("report", "section", "item").agg(F.max("value").alias("value"))
 
 
+def parameters(split_summary: DataFrame, section: str = "params") -> dict[str, float]:
+    """All parameters in force that have a readable number; the reports hold a fixed number of items."""
+    rows = in_force(split_summary).where(F.col("section") == section).groupBy("item").agg(F.max("value").alias("value")).collect()
+    return {r["item"]: float(r["value"]) for r in rows if r["value"] is not None}
+
+
 def parameter(split_summary: DataFrame, item: str, default: float | None = None, section: str = "params") -> float:
     """One parameter in force as a number; ``default`` where the run has none."""
-    row = in_force(split_summary).where((F.col("item") == item) & (F.col("section") == section)).agg(F.max("value")).first()
-    if row is None or row[0] is None:
-        if default is None:
-            raise ValueError(f"no value of {item} is in force")
-        return default
-    return float(row[0])
+    found = parameters(split_summary, section).get(item, default)
+    if found is None:
+        raise ValueError(f"no value of {item} is in force")
+    return found
