@@ -11,7 +11,7 @@ from ..functions.ids import domain_of, split_of
 from ..operators.knn import knn_join
 from ..plans.scale import SQL_RECORDS, records_with_superfamily
 from ..session import checkpoint_dir, stage, table
-from ..sources.reports import parameter
+from ..sources.reports import parameters
 from . import mpknn, neardup, overlap, packing, spam, splits, tokens
 from .components import forest_edges
 from .vectokens import usable
@@ -58,9 +58,9 @@ def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with its superfamily, component, delivered and newly assigned split."""
-    reports = table(spark, folder, "split_summary")
-    fractions = {s: parameter(reports, f"{s}_fraction") for s in ("train", "val", "test")}
-    seed = int(parameter(reports, "random_seed", 0))
+    now = parameters(table(spark, folder, "split_summary"))
+    fractions = {s: now[f"{s}_fraction"] for s in ("train", "val", "test")}
+    seed = int(now.get("random_seed", 0))
     records = records_with_superfamily(spark, folder, "split").select(
         "row_id", "domain", "superfamily", split_of(F.col("split")).alias("delivered")
     )
@@ -90,8 +90,8 @@ def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
 def p2_check(spark: SparkSession, folder: str) -> DataFrame:
     """Per split: records assigned; whether their share is within a hundredth of the asked one; superfamilies and domains that another split has too."""
     rows = stage(p2_records(spark, folder).select("superfamily", "domain", "assigned"))
-    reports = table(spark, folder, "split_summary")
-    fractions = {s: parameter(reports, f"{s}_fraction") for s in ("train", "val", "test")}
+    now = parameters(table(spark, folder, "split_summary"))
+    fractions = {s: now[f"{s}_fraction"] for s in ("train", "val", "test")}
 
     def torn(key: str) -> int:
         several = rows.where(F.col(key).isNotNull()).groupBy(key, "assigned").agg(F.lit(1).alias("_one")).groupBy(key).agg(F.count("_one").alias("_n"))
