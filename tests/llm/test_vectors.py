@@ -177,12 +177,55 @@ def test_probe_order():
 
 
 def test_visited_cells_are_neighbours():
-    plan = mpknn.ProbePlan(tables=3, hashes=4, probes=5)
-    own, visited = mpknn.Prober(plan).cells(np.random.default_rng(0).normal(size=(10, DIM)))
-    assert own.shape == (10, 3) and visited.shape == (10, 3, 5)
-    for i in range(10):
-        for t in range(3):
-            assert len({own[i, t], *visited[i, t]}) == 6
+    plan = mpknn.ProbePlan(tables=3, hashes=4, width=1.4, probes=5)
+    prober, rows = mpknn.Prober(plan), np.random.default_rng(0).normal(size=(10, DIM))
+    cells = prober.cells(rows)
+    assert cells.shape == (10, 3, 6) and (cells[:, :, :1] == prober.cells(rows, ask=False)).all()
+    assert all(len(set(cells[i, t])) == 6 for i in range(10) for t in range(3))
+
+
+def test_the_plan_follows_rows_cutoff_and_chance():
+    assert abs(mpknn.stranger_chance(1.4) ** 12 - 5.7e-6) < 2e-7
+    sizes = [10**4, 10**5, 10**6, 10**8]
+    plans = [mpknn.probe_plan(n) for n in sizes]
+    assert [p.hashes for p in plans] == sorted(p.hashes for p in plans) and plans[-1].hashes > plans[0].hashes
+    met = [n * p.tables * (1 + p.probes) * mpknn.stranger_chance(p.width) ** p.hashes for n, p in zip(sizes, plans)]
+    assert met[-1] < 20 * met[0]  # ten thousand times the rows
+    assert mpknn.probe_plan(10**5, 0.16).tables > plans[1].tables and mpknn.probe_plan(10**5, miss=1e-2).tables < plans[1].tables
+    assert mpknn.probe_plan(10**5, both_ask=False).tables > plans[1].tables
+
+
+@pytest.mark.parametrize("both_ask", [True, False])
+def test_pairs_at_the_cutoff_meet_as_often_as_planned(both_ask):
+    rng = np.random.default_rng(3)
+    plan = mpknn.probe_plan(10**5, 0.08, both_ask=both_ask)
+    a = rng.standard_normal((1500, DIM))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, DIM))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.92 * a + np.sqrt(1 - 0.92**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    prober = mpknn.Prober(plan)
+    ca, cb = prober.cells(a), prober.cells(b)
+    hit = (ca == cb[:, :, :1]).any(axis=2)
+    if both_ask:
+        hit |= (cb == ca[:, :, :1]).any(axis=2)
+    want = dict(zip(mpknn.PROBES, mpknn.meeting_chances(np.sqrt(0.16), plan.hashes, plan.width, both_ask)))[plan.probes]
+    assert want - 0.01 < hit.mean() < want + 0.05 and hit.any(axis=1).all()
+
+
+def test_widening_answers_near_rows_by_hashing(spark, monkeypatch):
+    monkeypatch.setattr(mpknn, "COMPARING_COST", 10.0)
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal((12, DIM))
+    m = np.concatenate([np.repeat(centre[:6], 9, axis=0) + 0.02 * rng.standard_normal((54, DIM)), np.repeat(centre[6:], 9, axis=0) + 0.35 * rng.standard_normal((54, DIM)), rng.standard_normal((40, DIM))]).astype(np.float32)
+    df = frame(spark, m).drop("vec").withColumnRenamed("embedding", "vec")
+    steps: list = []
+    got = {(r["row_id"], r["rank"]): r["distance"] for r in mpknn.nearest(df, cutoff=None, steps=steps).collect()}
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    d = np.sort(1 - u @ u.T + 9 * np.eye(len(u)), axis=1)
+    assert all(abs(got[i, k + 1] - d[i, k]) < 1e-6 for i in range(len(m)) for k in range(5))
+    assert [n for n, _ in steps] == ["within 0.08", "within 0.16", "within 0.3", "compared with all"]
+    assert 54 <= steps[0][1] < 60 and steps[1][1] + steps[2][1] > 40 and steps[3][1] >= 40 and sum(n for _, n in steps) == len(m)
 
 
 def test_nearest(spark):
