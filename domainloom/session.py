@@ -70,13 +70,18 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
 
 def dropped(*staged: DataFrame) -> None:
-    """Removes the files of ``stage``'s tables that nothing will read any more; other DataFrames are left alone."""
+    """Removes the files of ``stage``'s tables that nothing will read any more; other DataFrames are left alone.
+
+    The driver's heap is then collected, upon which Spark also removes the shuffle
+    files of the plans that wrote them.
+    """
     for df in staged:
         path = getattr(df, "_domainloom_path", None)
         if path is not None:
-            spark = df.sparkSession
-            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if staged:
+        staged[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
