@@ -11,52 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
-from . import prefix
+from ..session import dropped, stage
 from .neardup import THRESHOLD, copy_groups
+from .prefix import BROADCAST_TOKENS
 from .vectokens import DIM, sketch_close, token_plan, token_sets, verified
 
 
-def overlap_join(evaluation: DataFrame, training: DataFrame, need: int | None = None, jaccard: float | None = None, close: Column | None = None, *carry: str) -> DataFrame:
-    """``e, t`` of all pairs of an evaluation and a training set that overlap enough.
-
-    Both inputs are ``rep bigint, tokens array<bigint>`` and the ``carry`` columns,
-    tokens distinct within a set; enough is ``need`` common tokens, or a Jaccard
-    similarity of ``jaccard``.  Tokens are ordered by the number of evaluation
-    sets that hold them, rarest first; tokens of no evaluation set come first and
-    are never in the index.  ``close`` may test the carried columns of the sides
-    ``e`` and ``t`` within the join.  Empty sets match nothing.
-    """
-    counts = evaluation.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def _matches(evaluation: DataFrame, training: DataFrame, need: int | None, jaccard: float | None, close: Column | None, carry: tuple[str, ...]) -> DataFrame:
+    """``e, t, enough``, written: pairs with a common prefix token that pass length and position filters; ``enough`` tokens must be common."""
+    counts = stage(evaluation.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    looked_up = F.broadcast(counts) if counts.count() <= BROADCAST_TOKENS else counts
 
     def least(size: Column) -> Column:
         return F.lit(need) if need is not None else F.ceil(size * jaccard - 1e-9).cast("int")
 
     def side(sets: DataFrame) -> DataFrame:
         # positions count from the end, where the tokens that both sides can hold are
-        size = F.size("tokens")
         known = (
-            sets.select("rep", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rep")
+            sets.select("rep", F.explode("tokens").alias("token")).join(looked_up, "token").groupBy("rep")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x.token).alias("ordered"))
         )
-        rows = known.join(sets.select("rep", size.alias("size"), *carry), "rep")
-        lead = F.col("size") - F.size("ordered")
-        head = F.slice("ordered", 1, F.greatest(F.size("ordered") - least(F.col("size")) + 1, F.lit(0)))
-        return rows.where(F.size("ordered") >= least(F.col("size"))).select(
-            "rep", "size", "ordered", lead.alias("lead"), *carry, F.posexplode(head).alias("pos", "token")
-        )
+        rows = known.join(sets.select("rep", F.size("tokens").alias("size"), *carry), "rep").where(F.size("ordered") >= least(F.col("size")))
+        head = F.slice("ordered", 1, F.size("ordered") - least(F.col("size")) + 1)
+        return rows.select("rep", "size", (F.col("size") - F.size("ordered")).alias("lead"), *carry, F.posexplode(head).alias("pos", "token"))
 
     index, probe = stage(side(evaluation)), stage(side(training))
-    slim = ["rep", "size", "lead", "pos", "token", *carry]
-    e, t = index.select(*slim).alias("e"), probe.select(*slim).alias("t")
+    dropped(counts)
+    e, t = index.alias("e"), probe.alias("t")
     if need is not None:
-        enough = F.lit(need)
+        # both sizes are at least ``need`` already, which is all that a fixed overlap asks of them
+        enough, length = F.lit(need), F.lit(True)
     else:
         enough = F.ceil((F.col("e.size") + F.col("t.size")) * (jaccard / (1 + jaccard)) - 1e-9)
+        length = (F.col("t.size") >= F.col("e.size") * jaccard - 1e-9) & (F.col("e.size") >= F.col("t.size") * jaccard - 1e-9)
     rest = F.least(F.col("e.size") - F.col("e.lead") - F.col("e.pos"), F.col("t.size") - F.col("t.lead") - F.col("t.pos"))
-    length = F.lit(True) if jaccard is None else (F.col("t.size") >= F.col("e.size") * jaccard - 1e-9) & (F.col("e.size") >= F.col("t.size") * jaccard - 1e-9)
     matched = e.join(t, "token").where(length & (F.least("e.pos", "t.pos") + rest >= enough) & (close if close is not None else F.lit(True)))
-    pairs = matched.groupBy(F.col("e.rep").alias("e"), F.col("t.rep").alias("t"), enough.cast("int").alias("enough")).agg(F.count(F.lit(1)).alias("_seen"))
+    pairs = stage(matched.select(F.col("e.rep").alias("e"), F.col("t.rep").alias("t"), enough.cast("int").alias("enough")).distinct())
+    dropped(index, probe)
+    return pairs
+
+
+def overlap_join(evaluation: DataFrame, training: DataFrame, need: int | None = None, jaccard: float | None = None) -> DataFrame:
+    """``e, t`` of all pairs of an evaluation and a training set that overlap enough.
+
+    Both inputs are ``rep bigint, tokens array<bigint>``, tokens distinct within a
+    set; enough is ``need`` common tokens, or a Jaccard similarity of ``jaccard``.
+    Tokens are ordered by the number of evaluation sets that hold them, rarest
+    first; tokens of no evaluation set come first and are never in the index.
+    Empty sets match nothing.
+    """
+    pairs = _matches(evaluation, training, need, jaccard, None, ())
     # the prefix tokens' match is counted over the whole sets: the overlap is exact
     eo = evaluation.select(F.col("rep").alias("e"), F.col("tokens").alias("_et"))
     to = training.select(F.col("rep").alias("t"), F.col("tokens").alias("_tt"))
@@ -75,11 +79,13 @@ def near_across(sided: DataFrame, threshold: float = THRESHOLD, dim: int = DIM)
     members, reps = copy_groups(sided.select("row_id", "side", "embedding"), "row_id", "embedding", "side", dim=dim)
     plan = token_plan(reps.count(), threshold, dim=dim)
     sets = stage(token_sets(reps, plan, "side", dim=dim))
-    both = overlap_join(
+    both = _matches(
         sets.where(F.col("side") == "e"), sets.where(F.col("side") == "t"), plan.overlap, None,
-        sketch_close("e", "t", plan.sketch_limit), "s0", "s1",
+        sketch_close("e", "t", plan.sketch_limit), ("s0", "s1"),
     )
-    return verified(both, "e", "t", reps, reps, threshold, dim).select("e", "t"), members
+    dropped(sets)
+    # the tokens of a pair are counted again from its vectors, where the cosine is, so no token set is fetched
+    return verified(both.select("e", "t"), "e", "t", reps, reps, threshold, dim, plan).select("e", "t"), members
 
 
 def cross_split_pairs(records: DataFrame, threshold: float = THRESHOLD, dim: int = DIM) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Prefix filters over token sets: adaptive multi-match for self-joins, index-and-probe for joins of two sides.
+"""Prefix filters over token sets: adaptive multi-match prefixes for self-joins.
 
 A set is given by its rows (rep, token); ``need`` is the least number of tokens a
 partner must share.  Tokens are ordered by how many sets hold them, rarest first.
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROBE_COST, VERIFY_COST = 1.0, 4.0
+#: Tokens whose counts are sent to all executors (16 bytes each); more are joined by shuffle.
+BROADCAST_TOKENS = 2_000_000
 
 
 def shared_tokens(exploded: DataFrame) -> DataFrame:
@@ -26,10 +28,12 @@ def shared_tokens(exploded: DataFrame) -> DataFrame:
 def ordered_sets(exploded: DataFrame, counts: DataFrame) -> DataFrame:
     """``rep, shared``: each set's shared tokens as (n, token), rarest first; sets without any have no row.
 
-    A set is bounded by its own tokens, whatever the size of the collection.
+    A set is bounded by its own tokens, whatever the size of the collection.  The
+    written ``counts`` are counted before they are broadcast.
     """
+    looked_up = F.broadcast(counts) if counts.count() <= BROADCAST_TOKENS else counts
     return (
-        exploded.join(counts, "token").groupBy("rep")
+        exploded.join(looked_up, "token").groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
     )
 
@@ -59,12 +63,3 @@ def adaptive_prefixes(sets: DataFrame, need: Column | int, most: int) -> DataFra
         sets.where(size >= need_col).select("rep", best.alias("b"))
         .select("rep", F.col("b.level").alias("level"), F.explode("b.head.token").alias("token"))
     )
-
-
-def positioned_prefixes(sets: DataFrame, need: Column) -> DataFrame:
-    """``rep, size, need, pos, token``: the first size - need + 1 tokens with their 1-based positions in ``ordered``."""
-    size = F.size("ordered")
-    rows = sets.select("*", size.alias("size"), need.alias("need")).where((size >= F.col("need")) & (size > 0))
-    head = F.slice("ordered", 1, F.greatest(F.col("size") - F.col("need") + 1, F.lit(0)))
-    keep = [c for c in rows.columns if c != "ordered"]
-    return rows.select(*keep, F.posexplode(head).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)

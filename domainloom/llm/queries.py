@@ -210,6 +210,13 @@ placed AS (
         "p1_found": f"""
 WITH {_unit_sql('embedding_store', 'embedding', '')}
 SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM unit a JOIN unit b ON a.row_id < b.row_id WHERE list_inner_product(a.u, b.u) >= 0.97""",
+        "p1_groups": f"""
+WITH RECURSIVE {_unit_sql('embedding_store', 'embedding', '')},
+near AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM unit a JOIN unit b ON a.row_id <> b.row_id WHERE list_inner_product(a.u, b.u) >= 0.97),
+reach(row_id, other) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.row_id, n.b FROM reach r JOIN near n ON r.other = n.a),
+class AS (SELECT row_id, min(other) AS least FROM reach GROUP BY 1),
+degree AS (SELECT a AS row_id, count(*) AS n FROM near GROUP BY 1)
+SELECT s.row_id, s.id, coalesce(least, s.row_id) AS "group", coalesce(n, 0) AS links FROM embedding_store s LEFT JOIN class USING (row_id) LEFT JOIN degree USING (row_id)""",
         "p2_found": SQL_RECORDS + f""", {split}
 SELECT superfamily AS label_idx FROM placed WHERE superfamily IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",
         "p2_check": """
@@ -220,6 +227,14 @@ pairs AS (
   SELECT a.row_id AS e, b.row_id AS t FROM unit a JOIN unit b ON a.s <> 'train' AND b.s = 'train' WHERE list_inner_product(a.u, b.u) >= 0.97
   UNION SELECT a.row_id, b.row_id FROM placed a JOIN placed b ON a.domain = b.domain AND a.s <> 'train' AND b.s = 'train')
 SELECT least(e, t) AS row_id_a, greatest(e, t) AS row_id_b FROM pairs""",
+        "p3_report": SQL_RECORDS + f""", {split}, {_unit_sql('placed', 'embedding', 's, source,')},
+close AS (SELECT a.row_id AS e, b.row_id AS t FROM unit a JOIN unit b ON a.s <> 'train' AND b.s = 'train' WHERE list_inner_product(a.u, b.u) >= 0.97),
+close_rows AS (SELECT e AS row_id FROM close UNION SELECT t FROM close),
+both_sides AS (SELECT domain FROM placed WHERE domain IS NOT NULL AND s IS NOT NULL GROUP BY 1 HAVING bool_or(s = 'train') AND bool_or(s <> 'train')),
+flagged AS (
+  SELECT s AS split, source, row_id IN (SELECT row_id FROM close_rows) AS near, coalesce(domain IN (SELECT domain FROM both_sides), FALSE) AS same FROM placed WHERE s IS NOT NULL)
+SELECT split, CASE WHEN split <> 'train' THEN source END AS source, count(*) AS records, count(*) FILTER (same) AS same_domain, count(*) FILTER (near) AS near,
+       count(*) FILTER (same OR near) AS overlapping FROM flagged GROUP BY 1, 2""",
         "p4_found": _NEAREST_SQL + "SELECT row_id, nn_row_id FROM ranked",
         "p4_knn": f"""
 WITH {_unit_sql('vector_index', 'vec', '')},

@@ -22,8 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 64
 SEED = 20240607
@@ -81,7 +83,12 @@ def usable(v: Column, dim: int = DIM) -> Column:
 
 def matrix(vectors: pd.Series, dim: int = DIM) -> np.ndarray:
     """Unit rows in double precision of a series of arrays."""
-    m = np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(-1, dim) if len(vectors) else np.empty((0, dim))
+    return unit_rows(np.concatenate(vectors.to_numpy()) if len(vectors) else np.empty(0), dim)
+
+
+def unit_rows(values: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """Unit rows in double precision of ``dim`` values each, laid end to end."""
+    m = values.astype(np.float64).reshape(-1, dim)
     scale = np.abs(m).max(axis=1, keepdims=True)  # keeps squares of very large or small values finite
     m = m / np.where(scale == 0, 1, scale)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -133,21 +140,20 @@ def copy_key(unit: np.ndarray, exact: bool = False) -> list[bytes]:
     multiple whose stored values were rounded is then a vector of its own.
     """
     q = np.ascontiguousarray(unit + 0.0 if exact else np.round(unit * 2**14).astype(np.int16))
-    return [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in q]
+    width, whole = q.strides[0], memoryview(q).cast("B") if q.size else b""
+    return [hashlib.blake2b(whole[i : i + width], digest_size=16).digest() for i in range(0, len(q) * width, width)]
 
 
 def with_copy_key(vectors: DataFrame, id_col: str, vec_col: str, *keep: str, dim: int = DIM, exact: bool = False) -> DataFrame:
-    """``id_col, *keep, copy binary, vec array<float>`` of the usable vectors; ``vec`` holds the stored values, ``exact`` is as in ``copy_key``."""
-    base = vectors.where(usable(F.col(vec_col), dim)).select(id_col, *keep, F.col(vec_col).alias("vec"))
-    kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    """``id_col, *keep, copy binary, vec array<float>`` of the usable vectors with an id; ``vec`` holds the stored values, ``exact`` is as in ``copy_key``."""
+    base = vectors.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull()).select(id_col, *keep, F.col(vec_col).cast("array<float>").alias("vec"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[[id_col, *keep, "vec"]].copy()
-            out["copy"] = copy_key(matrix(pdf["vec"], dim), exact)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copy = pa.array(copy_key(unit_rows(batch.column("vec").flatten().to_numpy(), dim), exact), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, copy], names=[*batch.schema.names, "copy"])
 
-    return base.mapInPandas(run, f"{kinds}, vec array<float>, copy binary")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("copy", T.BinaryType())]))
 
 
 def token_sets(representatives: DataFrame, plan: TokenPlan, *keep: str, dim: int = DIM) -> DataFrame:
@@ -175,11 +181,12 @@ def sketch_close(a: str, b: str, limit: int) -> Column:
     return differ <= limit
 
 
-def verified(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, threshold: float, dim: int = DIM) -> DataFrame:
+def verified(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, threshold: float, dim: int = DIM, plan: TokenPlan | None = None) -> DataFrame:
     """``pairs`` with their exact ``cosine``, where it reaches ``threshold``; ``left`` and ``right`` give ``rep, vec``.
 
     The pairs are those that shared enough tokens and whose sketches are close,
     so nearly all of them are true; the vectors reach them by two joins on the id.
+    With ``plan``, the whole token sets of a pair must also overlap as it asks.
     """
     both = pairs.join(left.select(F.col("rep").alias(a), F.col("vec").alias("_va")), a).join(
         right.select(F.col("rep").alias(b), F.col("vec").alias("_vb")), b
@@ -188,9 +195,16 @@ def verified(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame
     names = pairs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = Tokenizer(plan, dim) if plan is not None else None
         for pdf in batches:
-            out = pdf[names].copy()
-            out["cosine"] = np.einsum("ij,ij->i", matrix(pdf["_va"], dim), matrix(pdf["_vb"], dim))
-            yield out[out["cosine"] >= threshold]
+            va, vb = matrix(pdf["_va"], dim), matrix(pdf["_vb"], dim)
+            cosine = np.einsum("ij,ij->i", va, vb)
+            near = cosine >= threshold
+            if tokenizer is not None:
+                common = (tokenizer.tokens(va[near]) == tokenizer.tokens(vb[near])).sum(axis=1)
+                near[near] = common >= plan.overlap
+            out = pdf.loc[near, names].copy()
+            out["cosine"] = cosine[near]
+            yield out
 
     return both.mapInPandas(run, f"{kinds}, cosine double")
