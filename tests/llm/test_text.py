@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import partial
 from pathlib import Path
 
 import pytest
 from domainloom.llm import packing, spam, tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 VOCAB = str(Path(tokens.VOCAB_DIR) / tokens.RANK_FILE)
 needs_vocab = pytest.mark.skipif(not Path(VOCAB).exists(), reason="no vocabulary files here")
@@ -118,6 +120,7 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), caps).count() == 0
 
 
+LEXICON = {w: (lang,) for lang, words in spam.FUNCTION_WORDS.items() for w in words.split()}
 PROSE = "We compared the two families because the search had produced a result that is hard to explain. "
 SPAM = {
     "keywords": "buy kinase cheap kinase online kinase free shipping kinase buy synthase cheap kinase bulk kinase order now kinase",
@@ -144,40 +147,86 @@ FINE = {
 }
 
 
-@pytest.mark.parametrize("name", SPAM)
-def test_spam_share(name):
-    assert spam.assess(SPAM[name])[2] > 0.9
-    assert spam.assess(PROSE * 2 + "\n" + "\n".join([SPAM[name]] * 6))[2] > 0.5
-    assert spam.assess(PROSE * 60 + "\n" + SPAM[name])[2] < 0.5
+IT = "Il dominio si trova vicino alla fine della catena e non lega lo zinco, ma il secondo sito è ancora attivo. Dopo la prima prova abbiamo visto che la ricerca non dà un esito sicuro per le classi più piccole. "
+PL = "Nie wiadomo, czy ta domena wiąże cynk, ale po tej próbie widać, że drugi jej koniec jest dość luźny i nie ma go w bazie. Od lat nikt z nas nie był w stanie tego dobrze wyjaśnić. "
+RU = "Мы не знали, что этот домен так близко к концу цепи, но он всё же не мешает ей. После того как мы ещё раз его нашли, стало ясно, что дело не в нём, а в том, как мы шли до него. "
+#: Forms that no feature was made for; what is spam among them, and what is not.
+OTHER_SPAM = {
+    "bare links": "\n".join(f"proteine{i}-angebot.de laufband{i}.io" for i in range(12)),
+    "german stuffing": "Laufschuhe günstig, Laufschuhe kaufen, Laufschuhe Angebot, Laufschuhe Test, Laufschuhe Rabatt, günstig Laufschuhe, Rabatt Laufschuhe, Angebot Laufschuhe " * 3,
+    "italian stuffing": "Scarpe economiche online. Migliori scarpe economiche. Offerta scarpe economiche. Comprare scarpe economiche. Scarpe economiche scontate. Negozio scarpe economiche. " * 2,
+    "labels": "\n".join(f"[{w} Rabatt](https://laden{i}.de/x) | [{w} Test](https://laden{i}.de/y)" for i, w in enumerate("Schuhe Hosen Jacken Taschen Uhren Ketten Ringe Brillen".split())),
+    "yen catalogue": "\n".join(f"QX{i}77 espresso grinder steel ¥{i}900 | QX{i}78 espresso grinder brass ¥{i}800" for i in range(9)),
+}
+OTHER_FINE = {
+    "column header": "sample, organism, chain, start, end, length, resolution, method, release, curator, comment, status, checksum",
+    "repeated english": PROSE * 4,
+    "italian": IT * 4, "polish": PL * 4, "russian": RU * 4,
+    "code": "def best(rows, k):\n    order = sorted(rows, key=score)\n    return order[:k]\n\nclass Index:\n    def __init__(self, path):\n        self.path = path\n",
+    "names": "Anna Nowak\nBen Okafor\nClara Lindqvist\nDiego Romero\nEmi Tanaka\nFarid Haddad",
+    "references": "See https://example.org/guide for the details, which we have not repeated here because they are long and have changed since then.",
+}
+
+
+def _among_documents(spark, folder, texts):
+    """What ``assessed`` says of texts put among the documents of a folder."""
+    base = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(10**9 + i, t, "en") for i, t in enumerate(texts.values())], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in spam.assessed(base.union(extra)).collect()}
+    return {name: got[10**9 + i] for i, name in enumerate(texts)}
 
 
-@pytest.mark.parametrize("name", FINE)
-def test_fine_share(name):
-    assert spam.assess(FINE[name])[2] < 0.2
+def test_forms_of_spam_and_of_writing(spark, medium):
+    pages = {f"{name} {kind}": t for kind, make in (
+        ("alone", lambda t: t), ("beside prose", lambda t: PROSE * 2 + "\n" + "\n".join([t] * 6)),
+    ) for name, t in ((n, make(t)) for n, t in (SPAM | OTHER_SPAM).items())}
+    fine = FINE | OTHER_FINE | {f"prose with {name}": PROSE * 60 + "\n" + t for name, t in SPAM.items()}
+    got = _among_documents(spark, medium, pages | fine)
+    assert {n for n in pages if not got[n]["spam"]} == set()
+    assert {n for n in fine if got[n]["spam"]} == set()
 
 
-@pytest.mark.parametrize("text", [None, "", "  \n", "​", "🧬", "<p></p>", "n/a", "TODO", "<" * 5000, "a" * 200_000, "<a href=" * 3000])
+def test_the_distance_decides(spark, medium):
+    listed = {n: t for n, t in (FINE | OTHER_FINE).items() if n in ("column header", "names", "table")}
+    kept = _among_documents(spark, medium, listed)
+    assert all(r["share"] > 0.5 and not r["candidate"] for r in kept.values())
+    got = spam.assessed(spark.read.parquet(f"{medium}/documents.parquet")).toPandas()
+    # distance and direction alone: all of the flagged, and hardly anything else
+    assert 30 < got["spam"].sum() <= got["candidate"].sum() < 1.2 * got["spam"].sum()
+
+
+@pytest.mark.parametrize("text", [None, "", "  \n", "​", "🧬", "<p></p>", "n/a", "TODO", "<" * 5000, "a" * 200_000, "<a href=" * 3000, "# " * 9, "1 2 3", "结构"])
 def test_odd_texts(text):
-    lang, words, share, features = spam.assess(text)
+    lang, words, share, features = spam.assess(text, LEXICON)
     assert share <= 1 and len(features) == len(spam.FEATURES) and all(f == f for f in features)
 
 
-def test_assessed(spark):
-    rows = [(i, PROSE * (1 + i % 5) + f"Number {i} of the list was not in the set.") for i in range(300)]
-    rows += [(1000 + i, t) for i, t in enumerate([*SPAM.values(), *SPAM.values()])] + [(2000 + i, t) for i, t in enumerate([None, "", " ", *FINE.values()])]
-    df = spark.createDataFrame([(*r, "en", 5) for r in rows], "doc_id bigint, text string, language string, share int")
+def test_assessed(spark, medium):
+    base = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text", F.lit("en").alias("language"), F.lit(5).alias("share"))
+    known = base.agg(F.max("doc_id")).first()[0]
+    rows = [(2**60 + i, t) for i, t in enumerate(list(SPAM.values()) * 2)] + [(2**40 + i, t) for i, t in enumerate([None, "", " ", *FINE.values()])] + [(None, PROSE)]
+    df = base.union(spark.createDataFrame([(*r, "en", 5) for r in rows], "doc_id bigint, text string, language string, share int"))
     got = spam.assessed(df).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"] for r in got if r["spam"]} == {1000 + i for i in range(2 * len(SPAM))}
+    assert len(got) == df.count()
+    assert {r["doc_id"] for r in got if r["spam"] and r["doc_id"] > known} == {2**60 + i for i in range(2 * len(SPAM))}
     assert spam.assessed(df.limit(0)).count() == 0
-    alone = spam.assessed(df.where("doc_id = 1000 or doc_id = 2000")).collect()
-    assert {r["doc_id"]: r["spam"] for r in alone} == {1000: True, 2000: False}
+    nothing = df.where(f"doc_id IN ({2**40}, {2**40 + 1})")
+    assert [r["spam"] for r in spam.assessed(nothing).collect()] == [False, False]
+
+
+def test_function_words_are_learned_from_texts_of_a_language(spark):
+    rows = [(i, f"Dit is de tekst met het nummer {i} en hij is niet lang maar wel goed", "nl") for i in range(400)] + [(900 + i, "zo zo", "xx") for i in range(3)]
+    learned = spam.function_words(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert "nl" in learned["het"] and "nl" in learned["en"] and set(learned["de"]) >= {"nl", "fr"} and "nummer" not in learned and "zo" not in learned
+    lang, _, _, features = spam.assess("Dit is niet de tekst en het is wel goed, maar hij is lang.", learned)
+    assert lang == "nl" and features[3] > 0.5
 
 
 @pytest.mark.parametrize("anchor", ['<a href="http://shop.example/{i}"><b>Kinase {i}</b> <i>Deals</i></a>', '<a href="http://shop.example/{i}/' + "x" * 1200 + '">Kinase Deals</a>', '<a href="http://shop.example/{i}">' + "kinase " * 90 + "</a>"])
 def test_links_of_nested_and_long_anchors_are_kept(anchor):
     from domainloom.llm.spam import assess, plain
 
+    assess = partial(assess, lexicon=LEXICON)
     text = "\n".join(anchor.format(i=i) for i in range(8))
-    assert plain(text).count("](http://shop.example/") == 8
+    assert plain(text).count("] (http://shop.example/") == 8
     assert assess(text)[3][0] > 0 and assess(text)[2] > 0.5
