@@ -28,6 +28,9 @@ class AnnotateConfig:
     return_distance: bool = True
     return_confidence: bool = False
     compute_metrics: bool = False
+    num_thresholds: int = 50
+    #: One TSV file per input, streamed through the driver, instead of a folder of parts.
+    single_file: bool = False
     structure_dir: str | None = None
     aligner: str = "TMalign"
     encode: EncodeConfig = field(default_factory=EncodeConfig)

@@ -92,17 +92,21 @@ def attach_truth(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     return predictions.drop("true_annotation").join(truth, "query_id", "left").withColumn("true_annotation", decode(F.col("_truth"))).drop("_truth")
 
 
-def in_query_order(predictions: DataFrame) -> DataFrame:
-    """``position``: rows sorted at the last place of their query id, then by their own place.
+def in_query_order(predictions: DataFrame, by: str | None = None) -> DataFrame:
+    """``position``: rows sorted at the last place of their query id, then by their own place; with ``by``, within each of its values.
 
     Output order of the reports: repeated ids stand together.  Positions are
     dense; they are assigned range by range, so no task sorts all rows.
     """
-    last = predictions.groupBy(F.col("query_id").alias("_id")).agg(F.max("query_pos").alias("_last"))
-    joined = predictions.join(last, F.col("query_id").eqNullSafe(F.col("_id"))).drop("_id")
+    group = [by] if by else []
+    last = predictions.groupBy(F.col("query_id").alias("_id"), *[F.col(c).alias("_by") for c in group]).agg(F.max("query_pos").alias("_last"))
+    same = F.col("query_id").eqNullSafe(F.col("_id"))
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col("_by"))
+    joined = predictions.join(last, same).drop("_id", "_by")
     parts = max(1, int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = joined.repartitionByRange(parts, "_last", "query_pos").sortWithinPartitions("_last", "query_pos")
-    return number_rows(ordered.withColumn("_all", F.lit(0)), "_all", "position").drop("_all", "_last")
+    ordered = joined.repartitionByRange(parts, *group, "_last", "query_pos").sortWithinPartitions(*group, "_last", "query_pos")
+    return number_rows(ordered.withColumn("_all", F.col(by) if by else F.lit(0)), "_all", "position").drop("_all", "_last")
 
 
 def index_labels(index: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from .skew import number_rows
 
 @dataclass(frozen=True)
 class EncodeConfig:
-    """Limits of an encoder batch and the type that vectors are stored in."""
+    """Limits of an encoder batch and the type that vectors are stored in (fixed values)."""
 
     max_residues: int = 4000
     max_batch: int = 100
@@ -126,31 +126,52 @@ def encoder_batches(sequences: DataFrame, config: EncodeConfig = EncodeConfig(),
     return joined.withColumn("batch", batch.cast("int")).drop("_run", "_n", "_g", "_l", "_batch", "_head", "_each")
 
 
-def encode(sequences: DataFrame, make_encoder: Callable[[], Encoder], config: EncodeConfig = EncodeConfig()) -> DataFrame:
-    """``file, pos, id, embedding`` of ``sequences (file, pos, id, sequence, length)``; ids that the encoder fails on are left out.
+def encode_all(sequences: DataFrame, make_encoder: Callable[[], Encoder], config: EncodeConfig = EncodeConfig()) -> DataFrame:
+    """``file, pos, id, embedding, failure`` of ``sequences (file, pos, id, sequence, length)``: a vector, or why there is none.
 
-    Partitions are encoded where they are, longest sequences of an Arrow batch
-    first; an encoder batch that raises is skipped and the next one goes on.
-    Empty sequences have no vector.
+    Sequences are encoded in the batches of ``encoder_batches``, longest first over
+    each file, so which ids share a batch does not depend on partitions.  A batch
+    that raises fails as a whole and the next one goes on; ids that the encoder
+    leaves out and empty sequences fail alone.
     """
+    filled = F.length("sequence") > 0
+    prepared = sequences.where(filled).select("file", "pos", "id", masked(F.col("sequence")).alias("sequence"), F.col("length").cast("int").alias("length"))
+    ordered = encoder_batches(prepared, config).repartition("file", "batch").sortWithinPartitions("file", "batch", F.desc("length"), "pos")
+
+    def whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of one encoder batch at a time, put together again where Arrow cut them."""
+        held: pd.DataFrame | None = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            begins = (pdf["batch"].ne(pdf["batch"].shift()) | pdf["file"].ne(pdf["file"].shift())).to_numpy(copy=True)
+            if len(pdf):
+                cuts = [*np.flatnonzero(begins), len(pdf)]
+                for lo, hi in zip(cuts[:-2], cuts[1:-1]):
+                    yield pdf.iloc[lo:hi]
+                held = pdf.iloc[cuts[-2] :]
+        if held is not None and len(held):
+            yield held
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
-        for pdf in frames:
-            pdf = pdf[pdf["sequence"].str.len() > 0].sort_values("length", ascending=False, kind="stable")
-            number = np.array(batches_of(pdf["length"].tolist(), config.max_residues, config.max_batch, config.max_seq_len))
-            for b in np.unique(number):
-                part = pdf[number == b]
-                try:
-                    found = encoder.encode(dict(zip(part["id"], part["sequence"])))
-                except Exception:
-                    continue
-                kept = part[part["id"].isin(list(found))]
-                vectors = [np.asarray(found[i], dtype=np.float32).astype(config.dtype).astype(np.float32) for i in kept["id"]]
-                yield pd.DataFrame({"file": kept["file"], "pos": kept["pos"], "id": kept["id"], "embedding": vectors})
-
-    prepared = sequences.select("file", "pos", "id", masked(F.col("sequence")).alias("sequence"), "length")
-    return prepared.mapInPandas(run, "file string, pos bigint, id string, embedding array<float>")
+        for part in whole_batches(frames):
+            found, why = {}, "left out by the encoder"
+            try:
+                found = encoder.encode(dict(zip(part["id"], part["sequence"])))
+            except Exception as e:  # noqa: BLE001 - whatever the plug-in raises fails its batch only
+                why = f"{type(e).__name__}: {e}"
+            vectors = [np.asarray(found[i], dtype=np.float32).astype(config.dtype).astype(np.float32) if i in found else None for i in part["id"]]
+            yield pd.DataFrame({"file": part["file"].array, "pos": part["pos"].array, "id": part["id"].array, "embedding": vectors, "failure": [None if v is not None else why for v in vectors]})
+
+    kinds = "file string, pos bigint, id string, embedding array<float>, failure string"
+    made = ordered.select("file", "pos", "id", "sequence", "batch").mapInPandas(run, kinds)
+    empty = sequences.where(~F.coalesce(filled, F.lit(False))).select("file", "pos", "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit("empty sequence").alias("failure"))
+    return made.union(empty)
+
+
+def encode(sequences: DataFrame, make_encoder: Callable[[], Encoder], config: EncodeConfig = EncodeConfig()) -> DataFrame:
+    """``file, pos, id, embedding`` of the sequences that ``encode_all`` finds a vector for."""
+    return encode_all(sequences, make_encoder, config).where(F.col("embedding").isNotNull()).drop("failure")
 
 
 def with_labels(encoded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

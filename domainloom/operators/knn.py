@@ -8,9 +8,11 @@ the smaller ``row_id``.
 * ``expression``: a nested-loop join with native expressions, for small tables.
 * ``block``: the index is broadcast as one matrix, queries stream by in batches
   and no row is shuffled.  Only for an index of at most ``BROADCAST_BYTES``.
-* ``two_phase``: for larger ones. The index is cut into blocks of bounded size and
-  every query block meets every index block as one matrix product; the k best of
-  each are merged by a second top-k.
+* ``two_phase``: for larger ones. Queries and index are cut into a grid of blocks of
+  bounded bytes and every query block meets every index block as one matrix
+  product; the k best of each are merged by a second top-k.  The grid is as coarse
+  as bytes and parallelism allow, so a row is copied about as often as the square
+  root of the number of tasks.
 * ``auto`` counts the index and takes ``block`` or ``two_phase``.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .vectors import as_double, dot, l2_normalize, matrix
 
 BROADCAST_BYTES = 256 * 2**20
-BLOCK_ROWS = 16_384
+#: Bytes of one side that a task of ``two_phase`` holds.
+TASK_BYTES = 128 * 2**20
 #: Similarities computed at once by a worker (several copies of 8 bytes each are held).
 STEP = 2**22
 SCHEMA = "query_pos bigint, rank int, db_row bigint, similarity double, distance double"
@@ -91,9 +94,23 @@ def _block(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool) ->
     return queries.select("query_pos", as_double(F.col("vec")).alias("vec")).mapInPandas(search, SCHEMA)
 
 
-def _two_phase(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool, rows: int, block_rows: int) -> DataFrame:
-    blocks = max(1, -(-rows // block_rows))
-    cuts = max(1, -(-queries.count() // block_rows))
+def grid(queries: int, rows: int, dim: int, parallelism: int, block_rows: int | None = None) -> tuple[int, int]:
+    """``(query cuts, index blocks)``: blocks within ``TASK_BYTES`` (or ``block_rows``), and two tasks a core, with the fewest copies."""
+    most = block_rows or max(1, TASK_BYTES // (8 * max(dim, 1)))
+    cuts, blocks = max(1, -(-queries // most)), max(1, -(-rows // most))
+    while cuts * blocks < 2 * parallelism and (cuts < queries or blocks < rows):
+        # a further cut copies the other side once more
+        if cuts < queries and (rows <= queries or blocks >= rows):
+            cuts += 1
+        else:
+            blocks += 1
+        if block_rows:
+            break
+    return cuts, blocks
+
+
+def _two_phase(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool, rows: int, dim: int, block_rows: int | None) -> DataFrame:
+    cuts, blocks = grid(queries.count(), rows, dim, queries.sparkSession.sparkContext.defaultParallelism, block_rows)
     d = index.select("row_id", as_double(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("b"))
     d = d.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
     q = queries.select("query_pos", as_double(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("query_pos"), F.lit(cuts)).cast("int").alias("c"))
@@ -118,7 +135,7 @@ def _two_phase(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool,
     return local.drop("rank").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_pos", "rank", "db_row", "similarity", "distance")
 
 
-def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
     """The ``k`` most similar index rows of every query; fewer where the index has fewer.
 
     ``exclude_self`` leaves out the row whose ``row_id`` is the query's position.
@@ -134,7 +151,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool =
         strategy = "block" if size["n"] * (size["d"] or 0) * 8 <= BROADCAST_BYTES else "two_phase"
     if strategy == "block":
         return _block(queries, index, k, exclude_self)
-    return _two_phase(queries, index, k, exclude_self, size["n"], block_rows)
+    return _two_phase(queries, index, k, exclude_self, size["n"], size["d"] or 0, block_rows)
 
 
 def padded(neighbours: DataFrame, queries: DataFrame, k: int) -> DataFrame:

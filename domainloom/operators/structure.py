@@ -13,13 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import paths
+
 #: Structure files of a domain, in order of preference (fixed values).
 EXTENSIONS = (".pdb", ".cif", ".pdb.gz", ".cif.gz", ".ent", ".ent.gz")
 TIMEOUT_SECONDS = 120
-# Patterns of the report format (fixed values).
-_ALIGNED = r"Aligned length=\s*(\d+)"
-_RMSD = r"RMSD=\s*([\d.]+)"
-_LENGTH = r"Length of Chain_1:\s*(\d+)"
+# Patterns of the report format (fixed values): aligned length and RMSD stand side by side.
+_ALIGNED = r"Aligned length=\s*(\d+),\s*RMSD=\s*[\d.]+"
+_RMSD = r"Aligned length=\s*\d+,\s*RMSD=\s*([\d.]+)"
+_LENGTH = r"Length of Chain_1:\s*(\d+)\s*residues"
 _SCORE = r"TM-score=\s*([\d.]+)\s*\(if normalized by length of Chain_1"
 
 
@@ -50,10 +52,10 @@ def parse_text(text: str) -> tuple[float, float, float]:
 def structure_files(spark: SparkSession, folder: str | Path) -> DataFrame:
     """``id, ext, path`` of the structure files of a folder."""
     rows = []
-    for f in sorted(Path(folder).iterdir()):
-        ext = max((e for e in EXTENSIONS if f.name.endswith(e)), key=len, default=None)
+    for name in paths.names(folder):
+        ext = max((e for e in EXTENSIONS if name.endswith(e)), key=len, default=None)
         if ext:
-            rows.append((f.name[: -len(ext)], ext, str(f)))
+            rows.append((name[: -len(ext)], ext, paths.join(folder, name)))
     return spark.createDataFrame(rows, "id string, ext string, path string")
 
 

@@ -42,7 +42,13 @@ def half_precision(v: Column) -> Column:
     @F.pandas_udf("array<float>")
     def rounded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([None if x is None else np.asarray(x, dtype=np.float16).astype(np.float32) for x in s])
+            there = s[s.notna()]
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            if len(there):
+                # all values of the batch at once, cut where the vectors end
+                flat = np.concatenate(there.to_numpy()).astype(np.float16).astype(np.float32)
+                out[s.notna()] = np.array([*np.split(flat, np.cumsum(there.map(len).to_numpy())[:-1]), None], dtype=object)[:-1]
+            yield out
 
     return rounded(v)
 

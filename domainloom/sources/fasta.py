@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import header_token
+from . import paths
 
-LINES_PER_CHUNK = 50_000
+#: Positions of a chunk (lines of a table, bytes of a file), and chunks of a group.
+LINES_PER_CHUNK, CHUNKS_PER_GROUP = 50_000, 20_000
 
 
 def resolve_paths(source: str | Path) -> dict[str, str]:
     """``{stem: path}`` of a FASTA file, or of a folder's ``*.fasta`` and then ``*.fa`` files, each sorted; empty if there are none."""
-    p = Path(source)
-    if p.is_file():
-        return {p.stem: str(p)}
-    return {f.stem: str(f) for pattern in ("*.fasta", "*.fa") for f in sorted(p.glob(pattern))} if p.is_dir() else {}
+    if paths.is_file(source):
+        return {paths.stem_of(source): paths.text_of(source)}
+    found = paths.names(source)
+    return {paths.stem_of(n): paths.join(source, n) for end in (".fasta", ".fa") for n in found if n.endswith(end)}
 
 
 def require_paths(sources: str | Path | list[str | Path]) -> list[str]:
@@ -36,15 +38,16 @@ def require_paths(sources: str | Path | list[str | Path]) -> list[str]:
     return out
 
 
-def read_text(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_text(spark: SparkSession, files: list[str]) -> DataFrame:
     """``file, file_order, pos, line`` of text files in the order given, without carriage returns.
 
-    The position joins a line's file block and its place in it, so files are read
+    Files may lie on any file system that Spark reads; local ones are named without
+    a scheme.  The position joins a line's file block and its place in it, so files are read
     in splits and still keep their order; a line is at least one byte, so the
     places of one block stay below the start of the next.
     """
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (str(Path(p).resolve()), i)])
-    rows = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_m"))
+    order = F.create_map(*[F.lit(x) for i, p in enumerate(files) for x in (paths.qualified(p), i)])
+    rows = spark.read.text([paths.text_of(p) for p in files]).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_m"))
     first = rows.groupBy("file_path", "file_block_start").agg(F.min("_m").alias("_first"))
     plain = F.url_decode(F.regexp_replace(F.regexp_replace("file_path", r"^file:/*", "/"), r"\+", "%2B"))
     return rows.join(first, ["file_path", "file_block_start"]).select(
@@ -67,13 +70,18 @@ def header_ids(lines: DataFrame) -> DataFrame:
 def _starts(lines: DataFrame, is_header: Column) -> DataFrame:
     """``lines`` with ``start``: the position of the last header at or before each line of its file; null before the first.
 
-    Files are worked in chunks of positions; what a chunk inherits comes from a
-    summary of one row per chunk, so a large file is no single task.
+    Files are worked in chunks of positions, and chunks in groups of as many: what
+    a chunk inherits comes from the chunks before it in its group and from a row
+    per group, so neither the lines nor the chunks of a large file are one task.
     """
     chunked = lines.withColumn("_chunk", F.floor(F.col("pos") / LINES_PER_CHUNK)).withColumn("_head", F.when(is_header, F.col("pos")))
-    last = chunked.groupBy("file", "_chunk").agg(F.max("_head").alias("_last"))
-    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = last.select("file", "_chunk", F.max("_last").over(before).alias("_inherited"))
+    last = chunked.groupBy("file", "_chunk").agg(F.max("_head").alias("_last")).withColumn("_group", F.floor(F.col("_chunk") / CHUNKS_PER_GROUP))
+    groups = last.groupBy("file", "_group").agg(F.max("_last").alias("_of_group"))
+    earlier = Window.partitionBy("file").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file", "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = last.withColumn("_within", F.max("_last").over(before)).join(
+        groups.select("file", "_group", F.max("_of_group").over(earlier).alias("_before")), ["file", "_group"]
+    ).select("file", "_chunk", F.coalesce("_within", "_before").alias("_inherited"))
     so_far = Window.partitionBy("file", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         chunked.withColumn("_own", F.max("_head").over(so_far)).join(inherited, ["file", "_chunk"])

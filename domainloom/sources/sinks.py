@@ -3,54 +3,58 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import half_precision, l2_normalize
+from . import paths
 
 
 def prediction_columns(truth: bool = False, distance: bool = False, confidence: bool = False, structure: bool = False) -> list[str]:
     """Columns of a prediction report in their fixed order."""
-    return ["query_id", "predicted_annotation", *["distance"] * distance, *["confidence"] * confidence, *["true_annotation"] * truth, *["tm_score", "rmsd", "tm_coverage"] * structure]
+    return ["query_id", "predicted_annotation", *["true_annotation"] * truth, *["distance"] * distance, *["confidence"] * confidence, *["tm_score", "rmsd", "tm_coverage"] * structure]
 
 
-def write_tsv(rows: DataFrame, path: str | Path, columns: list[str] | None = None) -> Path:
+def write_tsv(rows: DataFrame, path: str | Path, columns: list[str] | None = None) -> str:
     """One TSV file with a header and CRLF line ends, null as empty; written beside its place and moved there.
 
     Rows stream to the driver partition by partition in the DataFrame's order.  For
     results that should stay distributed, ``write_tsv_parts`` writes a folder.
     """
     columns = columns or rows.columns
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".tmp")
-    try:
-        with part.open("w", newline="", encoding="utf-8") as f:
-            w = csv.writer(f, delimiter="\t")
-            w.writerow(columns)
-            for r in rows.select(*columns).toLocalIterator(prefetchPartitions=True):
-                w.writerow(["" if v is None else v for v in r])
-        os.replace(part, target)
-    finally:
-        part.unlink(missing_ok=True)
-    return target
-
-
-def write_tsv_parts(rows: DataFrame, path: str | Path) -> None:
+
+    def lines() -> Iterator[str]:
+        held = io.StringIO()
+        w = csv.writer(held, delimiter="\t")
+        w.writerow(columns)
+        for r in rows.select(*columns).toLocalIterator(prefetchPartitions=True):
+            w.writerow(["" if v is None else v for v in r])
+            yield held.getvalue()
+            held.seek(0)
+            held.truncate()
+        yield held.getvalue()
+
+    return paths.write_lines(path, lines())
+
+
+def read_tsv(spark: SparkSession, path: str | Path, schema: str) -> DataFrame:
+    """A report of ``write_tsv`` or ``write_tsv_parts``; empty cells are null."""
+    return spark.read.option("sep", "\t").option("header", True).option("nullValue", "").option("enforceSchema", False).schema(schema).csv(paths.text_of(path))
+
+
+def write_tsv_parts(rows: DataFrame, path: str | Path, columns: list[str] | None = None) -> None:
     """A folder of TSV parts, each with a header; order is kept within and across part numbers."""
-    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(str(path))
+    rows.select(*(columns or rows.columns)).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(str(path))
 
 
-def write_metrics(row: DataFrame, path: str | Path) -> Path:
+def write_metrics(row: DataFrame, path: str | Path) -> str:
     """The one row of ``row`` as indented JSON."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(row.first().asDict(recursive=True), indent=2))
-    return target
+    return paths.write_text(path, json.dumps(row.first().asDict(recursive=True), indent=2))
 
 
 def build_index(rows: DataFrame, labels: DataFrame | None = None, half: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import number_rows
+from . import paths
 from .fasta import read_text
 
 METADATA = "metadata.json"
@@ -46,14 +47,16 @@ def read_ids(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.select("pos", F.regexp_replace(column, r"^\s+|\s+$", "").alias("id")).where(F.col("id") != "")
 
 
-def last_rows(store: DataFrame) -> DataFrame:
-    """``id, row_id``: the last row of every non-null id."""
+def last_rows(store: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """``id, row_id``: the last row of every non-null id, or the row that ``override (id, row_id)`` names, which then is all there is."""
+    if override is not None:
+        return override.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("row_id").alias("row_id"))
     return store.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("row_id").alias("row_id"))
 
 
-def gather(ids: DataFrame, store: DataFrame) -> DataFrame:
+def gather(ids: DataFrame, store: DataFrame, override: DataFrame | None = None) -> DataFrame:
     """``query_pos, id, embedding`` as floats for the ids found, repeated queries included."""
-    rows = ids.join(last_rows(store), "id").join(store.select("row_id", "embedding"), "row_id")
+    rows = ids.join(last_rows(store, override), "id").join(store.select("row_id", "embedding"), "row_id")
     return rows.select("query_pos", "id", F.col("embedding").cast("array<float>").alias("embedding"))
 
 
@@ -88,36 +91,34 @@ def check(store: DataFrame, metadata: dict | None = None, require_labels: bool =
 
 
 def is_populated(path: str | Path) -> bool:
-    return (Path(path) / TABLE).exists() and (Path(path) / METADATA).exists()
+    return paths.exists(paths.join(path, TABLE)) and paths.exists(paths.join(path, METADATA))
 
 
-def write_store(store: DataFrame, path: str | Path, source: str | None = None, extra: dict | None = None, vocabulary: dict[int, str] | None = None, overwrite: bool = False) -> Path:
+def write_store(store: DataFrame, path: str | Path, source: str | None = None, extra: dict | None = None, vocabulary: dict[int, str] | None = None, overwrite: bool = False) -> str:
     """Writes the table and then its sidecar; refuses a folder that holds either, unless ``overwrite``.
 
     Rows are committed by the writer at once; a folder with a table but no sidecar
     is an unfinished store and is not read.
     """
-    p = Path(path)
-    if not overwrite and ((p / TABLE).exists() or (p / METADATA).exists()):
-        raise FileExistsError(f"{p} holds a store")
-    (p / METADATA).unlink(missing_ok=True)
-    store.write.mode("overwrite" if overwrite else "errorifexists").parquet(str(p / TABLE))
-    r = store.sparkSession.read.parquet(str(p / TABLE)).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    rows, about_file = paths.join(path, TABLE), paths.join(path, METADATA)
+    if not overwrite and (paths.exists(rows) or paths.exists(about_file)):
+        raise FileExistsError(f"{path} holds a store")
+    paths.remove(about_file)
+    store.write.mode("overwrite" if overwrite else "errorifexists").parquet(rows)
+    r = store.sparkSession.read.parquet(rows).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     about = {"dim": r["d"], "count": r["n"], "dtype": "float32", "source": source} | (extra or {})
     if vocabulary is not None:
         about["idx_to_label"] = {str(k): v for k, v in vocabulary.items()}
-    (p / f"{METADATA}.tmp").write_text(json.dumps(about, indent=2))
-    (p / f"{METADATA}.tmp").rename(p / METADATA)
-    return p
+    paths.write_text(about_file, json.dumps(about, indent=2))
+    return paths.text_of(path)
 
 
 def read_store(spark: SparkSession, path: str | Path, require_labels: bool = False) -> tuple[DataFrame, dict]:
     """The table and its metadata, checked against each other."""
-    p = Path(path)
-    if not is_populated(p):
-        raise FileNotFoundError(f"no store at {p}")
-    about = json.loads((p / METADATA).read_text())
-    df = spark.read.parquet(str(p / TABLE))
+    if not is_populated(path):
+        raise FileNotFoundError(f"no store at {path}")
+    about = json.loads(paths.read_text(paths.join(path, METADATA)))
+    df = spark.read.parquet(paths.join(path, TABLE))
     check(df, about, require_labels)
     return df, about
 
@@ -126,19 +127,41 @@ def vocabulary_of(path: str | Path, metadata: dict) -> dict[int, str] | None:
     """Label names by index: inline in the metadata, in the sidecar file it names, or None."""
     inline = metadata.get("idx_to_label")
     if inline is None and metadata.get("idx_to_label_file"):
-        inline = json.loads((Path(path) / metadata["idx_to_label_file"]).read_text())
+        inline = json.loads(paths.read_text(paths.join(path, metadata["idx_to_label_file"])))
     return None if inline is None else {int(k): v for k, v in inline.items()}
 
 
-def import_arrays(spark: SparkSession, folder: str | Path, rows_per_part: int = 65_536) -> DataFrame:
-    """A store from ``embeddings.npy``, ``ids.txt`` and, if present, ``labels.npy``; nothing pickled is read.
+def import_arrays(spark: SparkSession, folder: str | Path, rows_per_part: int = 65_536, require_labels: bool = False) -> DataFrame:
+    """A store from ``embeddings.npy``, ``ids.txt``, ``metadata.json`` and, if present, ``labels.npy``; nothing pickled is read.
 
-    Executors map the array file and read their own rows, so the folder must be
-    shared; ids are numbered range by range in file order.
+    The three files must be there, and rows, width and type (where the metadata
+    names them), ids and labels must agree.  Executors map the array file and read
+    their own rows, so the folder must be mounted on all of them (``file:`` is
+    understood, other file systems are not); ids are numbered range by range in
+    file order.
     """
-    p = Path(folder)
-    shape = np.load(p / "embeddings.npy", mmap_mode="r", allow_pickle=False).shape
+    p = Path(paths.qualified(folder))
+    for name in ("embeddings.npy", "ids.txt", METADATA):
+        if not (p / name).exists():
+            raise FileNotFoundError(f"no {name} in {folder}")
+    mapped = np.load(p / "embeddings.npy", mmap_mode="r", allow_pickle=False)
+    if mapped.ndim != 2:
+        raise ValueError(f"embeddings of {mapped.ndim} dimensions")
+    shape, dtype = mapped.shape, mapped.dtype
+    about = json.loads((p / METADATA).read_text())
+    for key, found in (("count", shape[0]), ("dim", shape[1])):
+        said = metadata_value(about, key)
+        if said is not None and int(said) != found:
+            raise ValueError(f"{key} {found}, metadata says {said}")
+    said = metadata_value(about, "dtype")
+    if said is not None and np.dtype(said) != dtype:
+        raise ValueError(f"type {dtype}, metadata says {said}")
     array, labels = str(p / "embeddings.npy"), p / "labels.npy"
+    if labels.exists():
+        if (n := np.load(labels, mmap_mode="r", allow_pickle=False).shape) != shape[:1]:
+            raise ValueError(f"{n} labels for {shape[0]} vectors")
+    elif require_labels:
+        raise ValueError(f"no labels.npy in {folder}")
 
     def read(frames):
         import pandas as pd
@@ -170,11 +193,10 @@ def resolve_store(spark: SparkSession, path: str | Path | None, make: Callable[[
     nothing to make a store from.
     """
     if path is not None:
-        p = Path(path)
-        if is_populated(p):
-            return read_store(spark, p, require_labels)[0]
-        if p.exists() and any(p.iterdir()):
-            raise ValueError(f"{p} is not empty and no whole store")
+        if is_populated(path):
+            return read_store(spark, path, require_labels)[0]
+        if paths.names(path):
+            raise ValueError(f"{path} is not empty and no whole store")
     if make is None:
         raise ValueError("neither a store nor a way to make one")
     made = make()

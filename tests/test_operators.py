@@ -33,10 +33,25 @@ def rows_of(df, *columns):
 # ---- search ---------------------------------------------------------------------------------------------------------
 
 
-def test_identity_index(spark):
-    q = spark.createDataFrame([(0, "a", [1.0, 0.0, 0.0]), (1, "b", [0.0, 5.0, 0.0])], VEC)
-    got = rows_of(knn_join(q, index_of(spark, np.eye(3)), 1), "query_pos", "db_row", "similarity")
-    assert got == [(0, 0, 1.0), (1, 1, 1.0)]
+def test_every_direction_finds_itself(spark):
+    rng = np.random.default_rng(21)
+    basis = np.linalg.qr(rng.normal(size=(7, 7)))[0]
+    order = rng.permutation(7)
+    q = spark.createDataFrame([(10 + i, f"chain{i}", [float(x) for x in basis[j] * (0.2 + 3 * i)]) for i, j in enumerate(order)], VEC)
+    got = rows_of(knn_join(q, index_of(spark, basis), 1), "query_pos", "db_row", "similarity")
+    assert got == [(10 + i, int(j), pytest.approx(1.0)) for i, j in enumerate(order)]
+
+
+def test_the_grid_copies_rows_as_often_as_the_root_of_its_tasks():
+    from domainloom.operators.knn import TASK_BYTES, grid
+
+    for n, m in ((10**9, 10**9), (10**6, 10**9), (10**9, 10**5)):
+        cuts, blocks = grid(n, m, 64, 4000)
+        assert -(-n // cuts) * 64 * 8 <= TASK_BYTES + 512 and -(-m // blocks) * 64 * 8 <= TASK_BYTES + 512
+        assert (n * blocks + m * cuts) / (n + m) <= 1.1 * max(1, (cuts * blocks) ** 0.5, 8000**0.5)
+    assert grid(0, 0, 0, 8) == (1, 1) and grid(3, 2, 64, 8) == (3, 2)
+    cuts, blocks = grid(2000, 2000, 64, 8)
+    assert 16 <= cuts * blocks < 40
 
 
 def test_strategies_agree_with_ties_and_zero_vectors(spark):
@@ -68,36 +83,50 @@ def test_small_and_empty_indexes(spark, strategy):
 # ---- vote -----------------------------------------------------------------------------------------------------------
 
 
-def test_vote_with_labels(spark):
-    index = index_of(spark, [[1, 0, 0, 0], [0.9, 0.1, 0, 0], [0, 0, 1, 0], [0, 0, 0.9, 0.1]], ["A", "A", "B", "B"])
-    q = spark.createDataFrame([(0, "q_A", [1.0, 0.0, 0.0, 0.0]), (1, "q_B", [0.0, 0.0, 1.0, 0.0]), (2, "q_m", None)], VEC)
-    got = rows_of(ann.annotate(q, index, 2), "query_pos", "predicted_annotation", "confidence", "top1_db_row")
-    assert got == [(0, "A", 1.0, 0), (1, "B", 1.0, 2), (2, "missing_embedding", None, -1)]
+def circle(*degrees):
+    """Unit vectors in the plane."""
+    return [[math.cos(math.radians(a)), math.sin(math.radians(a))] for a in degrees]
 
 
-def test_cutoff_is_inclusive_and_gives_unknown(spark):
-    index = index_of(spark, [[1, 0], [0, 1]], ["A", "B"])
-    q = spark.createDataFrame([(0, "q", [1.0, 0.0])], VEC)
-    assert rows_of(ann.annotate(q, index, 1, -0.5), "predicted_annotation", "confidence", "distance", "top1_db_row") == [("unknown", 0.0, 0.0, 0)]
-    assert rows_of(ann.annotate(q, index, 1, 0.0), "predicted_annotation", "confidence") == [("A", 1.0)]
-    assert rows_of(ann.annotate(q, index, 2, 1.0), "predicted_annotation", "confidence") == [("A", 0.5)]
-
+def test_the_nearest_three_decide(spark):
+    index = index_of(spark, circle(0, 14, 21, 80, 95, 101, 180), ["barrel", "barrel", "sheet", "sheet", "helix", "helix", "coil"])
+    q = spark.createDataFrame([(3, "p", circle(8)[0]), (5, "r", circle(97)[0]), (8, "none", None), (9, "s", circle(140)[0])], VEC)
+    got = rows_of(ann.annotate(q, index, 3), "query_pos", "predicted_annotation", "confidence", "top1_db_row")
+    third = pytest.approx(2 / 3)
+    assert got == [(3, "barrel", third, 1), (5, "helix", third, 4), (8, "missing_embedding", None, -1), (9, "helix", third, 5)]
 
-def test_id_lookup_and_label_unknown(spark):
-    q = spark.createDataFrame([(0, "q", [1.0, 0.0])], VEC)
-    lookup = spark.createDataFrame([("x0", "sf_seven")], "id string, label string")
-    got = ann.annotate(q, index_of(spark, np.eye(2)), 2, labels=lookup)
-    assert rows_of(got, "predicted_annotation", "confidence") == [("sf_seven", 0.5)]
-    none = ann.annotate(q, index_of(spark, np.eye(2)), 2, labels=lookup.limit(0))
-    assert rows_of(none, "predicted_annotation", "confidence") == [("unknown", 0.0)]
-    literal = ann.annotate(q, index_of(spark, [[1, 0], [1, 0.1], [0, 1]], ["unknown", "unknown", "B"]), 3)
-    assert rows_of(literal, "predicted_annotation", "confidence") == [("unknown", pytest.approx(2 / 3))]
 
-
-def test_requested_k_divides(spark):
-    q = spark.createDataFrame([(0, "q", [1.0, 0.0])], VEC)
-    assert rows_of(ann.annotate(q, index_of(spark, [[1, 0]], ["A"]), 4), "predicted_annotation", "confidence") == [("A", 0.25)]
-    assert rows_of(ann.annotate(q, index_of(spark, [[1, 0]], ["A"]).limit(0), 4), "predicted_annotation", "distance", "confidence", "top1_db_row") == [("unknown", None, 0.0, -1)]
+def test_cutoff_is_inclusive_and_gives_unknown(spark):
+    index = index_of(spark, circle(60, 120, 180), ["near", "far", "far"])
+    q = spark.createDataFrame([(4, "q", circle(0)[0])], VEC)
+    exact = float(knn_join(q, index, 1).first()["distance"])
+    assert exact == pytest.approx(0.5)
+    columns = ("predicted_annotation", "confidence", "top1_db_row")
+    assert rows_of(ann.annotate(q, index, 1, exact), *columns) == [("near", 1.0, 0)]
+    assert rows_of(ann.annotate(q, index, 1, exact - 1e-6), *columns, "distance") == [("unknown", 0.0, 0, exact)]
+    # two of three are beyond the cutoff and do not outvote the one within
+    assert rows_of(ann.annotate(q, index, 3, 1.2), *columns) == [("near", pytest.approx(1 / 3), 0)]
+    assert rows_of(ann.annotate(q, index, 3, 2.0), *columns) == [("far", pytest.approx(2 / 3), 0)]
+
+
+def test_labels_from_ids_and_the_label_unknown(spark):
+    q = spark.createDataFrame([(2, "q", circle(10)[0])], VEC)
+    unlabelled = index_of(spark, circle(12, 40, 70, 200))
+    lookup = spark.createDataFrame([("x1", "loop"), ("x2", "loop"), ("x3", "turn"), ("elsewhere", "turn")], "id string, label string")
+    # the nearest has no label: it holds a place but no vote
+    assert rows_of(ann.annotate(q, unlabelled, 3, labels=lookup), "predicted_annotation", "confidence", "top1_db_row") == [("loop", pytest.approx(2 / 3), 0)]
+    assert rows_of(ann.annotate(q, unlabelled, 3, labels=lookup.limit(0)), "predicted_annotation", "confidence") == [("unknown", 0.0)]
+    # a stored label "unknown" votes like any other
+    named = index_of(spark, circle(12, 15, 300, 310, 320), ["turn", "unknown", "unknown", "unknown", "turn"])
+    assert rows_of(ann.annotate(q, named, 5), "predicted_annotation", "confidence") == [("unknown", pytest.approx(3 / 5))]
+
+
+@pytest.mark.parametrize("k", [2, 5, 9])
+def test_requested_k_divides(spark, k):
+    q = spark.createDataFrame([(7, "q", circle(33)[0])], VEC)
+    short = index_of(spark, circle(30, 36), ["knot", "knot"])
+    assert rows_of(ann.annotate(q, short, k), "predicted_annotation", "confidence") == [("knot", pytest.approx(2 / k))]
+    assert rows_of(ann.annotate(q, short.limit(0), k), "predicted_annotation", "distance", "confidence", "top1_db_row") == [("unknown", None, 0.0, -1)]
 
 
 def test_vote_against_a_plain_model(spark):
@@ -136,9 +165,19 @@ def test_truth_order_and_hits(spark):
 
 
 def test_resolve(spark):
-    s = spark.createDataFrame([(i, f"dom{i:02d}") for i in range(10)] + [(10, "dom05")], "row_id bigint, id string")
-    ids = spark.createDataFrame([(0, "dom02"), (1, "MISSING"), (2, "dom00"), (3, "dom05"), (4, "dom02"), (5, None)], "query_pos bigint, id string")
-    assert rows_of(ann.resolve(ids, s), "query_pos", "row_id") == [(0, 2), (1, None), (2, 0), (3, 10), (4, 2), (5, None)]
+    rng = random.Random(8)
+    names = [f"chain-{rng.randint(0, 25)}" for _ in range(60)]
+    s = spark.createDataFrame(list(enumerate(names)), "row_id bigint, id string")
+    asked = [rng.choice([f"chain-{rng.randint(0, 40)}", None]) if i % 6 == 0 else f"chain-{rng.randint(0, 40)}" for i in range(80)]
+    last = {name: i for i, name in enumerate(names)}
+    ids = spark.createDataFrame(list(enumerate(asked)), "query_pos bigint, id string")
+    assert rows_of(ann.resolve(ids, s), "query_pos", "row_id") == [(i, last.get(a)) for i, a in enumerate(asked)]
+
+
+def test_order_within_files(spark):
+    p = spark.createDataFrame([(0, "b", "f1"), (1, "a", "f1"), (2, "b", "f1"), (3, "b", "f2"), (4, "c", "f2")], "query_pos bigint, query_id string, file string")
+    got = {(r["file"], r["position"]): r["query_pos"] for r in ann.in_query_order(p, "file").collect()}
+    assert got == {("f1", 0): 1, ("f1", 1): 0, ("f1", 2): 2, ("f2", 0): 3, ("f2", 1): 4}
 
 
 # ---- metrics --------------------------------------------------------------------------------------------------------
@@ -152,6 +191,8 @@ def test_summary_and_accuracy(spark):
     assert (r["total"], r["annotated"], r["unknown"], r["missing"], r["confidences"]) == (6, 4, 1, 1, 3)
     assert tuple(metrics.annotation_accuracy(p).first()) == (2, 0.5)
     assert tuple(metrics.annotation_accuracy(p.limit(0)).first()) == (0, 0.0)
+    by_pos = p.withColumn("query_pos", F.monotonically_increasing_id())
+    assert sorted(r["confidence"] for r in metrics.confidences(by_pos).collect()) == [0.5, 0.5, 1.0]
     assert metrics.accuracy(p, "predicted_annotation", "true_annotation").first()[0] == pytest.approx(1 / 5)
 
 
@@ -188,24 +229,27 @@ def test_supcon(spark):
     from domainloom.train import supcon
 
     m = unit(np.random.default_rng(0).normal(size=(16, 12)))
-    y = np.array([0, 0, 1, 1, 2, 2, 3, 3] * 2)
-    got = losses.supcon_loss(batch(spark, m, y)).first()
-    assert got["anchors"] == 16 and got["loss"] == pytest.approx(supcon(m, y, 0.07)[0]) and got["loss"] > 0
-    assert losses.supcon_loss(batch(spark, m[:4], [0, 1, 2, 3])).first()["loss"] == 0.0
-    mixed = losses.supcon_loss(batch(spark, m[:6], [0, 0, 1, 1, 2, 3])).first()
-    assert mixed["anchors"] == 4 and mixed["loss"] == pytest.approx(supcon(m[:6], np.array([0, 0, 1, 1, 2, 3]), 0.07)[0])
+    for seed in range(3):
+        y = np.random.default_rng(seed).integers(0, 9, 16) * 11
+        got = losses.supcon_loss(batch(spark, m, y)).first()
+        assert got["anchors"] == sum((y == t).sum() > 1 for t in y) and got["loss"] == pytest.approx(supcon(m, y, 0.07)[0]) and got["loss"] > 0
+    scaled = losses.supcon_loss(batch(spark, m * np.arange(1, 17)[:, None], y), normalize=True).first()
+    assert scaled["loss"] == pytest.approx(got["loss"])
+    alone = losses.supcon_loss(batch(spark, m[:5], [40, 31, 22, 13, 4])).first()
+    assert (alone["anchors"], alone["loss"]) == (0, 0.0)
 
 
 def test_proxy_anchor(spark):
     from domainloom.train import proxy_anchor
 
-    rng = np.random.default_rng(0)
-    m, p, y = unit(rng.normal(size=(16, 8))), rng.normal(size=(5, 8)), np.array([0, 0, 1, 1, 2, 2, 3, 3] * 2)
+    rng = np.random.default_rng(6)
+    m, p, y = unit(rng.normal(size=(23, 8))), rng.normal(size=(11, 8)), rng.integers(0, 7, 23)
     proxies = spark.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(p)], "label int, vec array<double>")
-    got = losses.proxy_anchor_loss(batch(spark, m, y), proxies).first()
-    assert got["present"] == 4 and got["loss"] == pytest.approx(proxy_anchor(m, y, p, 0.1, 32.0)[0])
-    with pytest.raises(ValueError):
-        losses.proxy_anchor_loss(batch(spark, m, y), proxies, most_proxies=4)
+    want = proxy_anchor(m, y, p.copy(), 0.1, 32.0)[0]
+    # in one block, and in several where there are more classes than one may hold
+    for most in (100, 4, 1):
+        got = losses.proxy_anchor_loss(batch(spark, m, y), proxies, most_proxies=most).first()
+        assert got["present"] == len(set(y.tolist())) and got["loss"] == pytest.approx(want)
 
 
 def test_learning_rates(spark):
@@ -220,10 +264,10 @@ def test_learning_rates(spark):
 
 
 def test_batches():
-    sizes = lambda lengths, **k: list(Counter(encode.batches_of(lengths, **({"max_residues": 10**6, "max_batch": 100, "max_seq_len": 10**6} | k))).values())
-    assert sizes([10] * 5, max_batch=2) == [2, 2, 1]
-    assert sizes([50, 60, 30], max_residues=100) == [2, 1]
-    assert sizes([5, 2000], max_seq_len=1000) == [2]
+    sizes = lambda lengths, **k: list(Counter(encode.batches_of(lengths, **({"max_residues": 10**7, "max_batch": 999, "max_seq_len": 10**7} | k))).values())
+    assert sizes([7] * 11, max_batch=4) == [4, 4, 3]
+    assert sizes([30, 25, 20, 15, 10], max_residues=45) == [2, 3]
+    assert sizes([900, 899, 12, 11], max_seq_len=898) == [1, 1, 2]
     assert sizes([]) == []
 
 
@@ -259,16 +303,26 @@ def test_formatting_and_pooling(spark):
     assert [r[0] for r in t.orderBy("i").select(vectors.mean_pool(F.col("t"), F.col("n"))).collect()] == [[2.0] * 4, None]
 
 
-def test_encoder_failures_drop_their_batch(spark):
+def picky():
+    # made here, so that it is sent by value
     class Picky(encode.KmerEncoder):
+        """Refuses batches with a B, leaves out sequences that begin with W."""
+
         def encode(self, sequences):
             if any("B" in s for s in sequences.values()):
                 raise RuntimeError("no B")
-            return super().encode(sequences)
+            return {i: v for i, v in super().encode(sequences).items() if not sequences[i].startswith("W")}
+
+    return Picky
 
-    rows = [("f", i, f"s{i}", s, len(s)) for i, s in enumerate(["ACDEF", "ABCDEF", "", "ACDEF", "AC"])]
+
+def test_encoder_failures_are_reported(spark):
+    rows = [("f", i, f"s{i}", s, len(s)) for i, s in enumerate(["MKVLA", "MKBVLA", "", "MKVLA", "GH", "WWT"])]
     seqs = spark.createDataFrame(rows, "file string, pos bigint, id string, sequence string, length int").coalesce(1)
-    got = encode.as_store(encode.encode(seqs, Picky, encode.EncodeConfig(max_batch=1)))
+    whole = {r["id"]: r for r in encode.encode_all(seqs, picky(), encode.EncodeConfig(max_batch=1)).collect()}
+    assert {i: r["failure"] for i, r in whole.items()} == {"s0": None, "s1": "RuntimeError: no B", "s2": "empty sequence", "s3": None, "s4": None, "s5": "left out by the encoder"}
+    assert all((r["embedding"] is None) == (r["failure"] is not None) for r in whole.values())
+    got = encode.as_store(encode.encode(seqs, picky(), encode.EncodeConfig(max_batch=1)))
     assert rows_of(got, "row_id", "id") == [(0, "s0"), (1, "s3"), (2, "s4")]
     first, other = got.where("id = 's0'").first()["embedding"], got.where("id = 's3'").first()["embedding"]
     assert first == other and abs(np.linalg.norm(first) - 1) < 1e-3
@@ -278,6 +332,28 @@ def test_encoder_failures_drop_their_batch(spark):
         encode.with_labels(got, spark.createDataFrame([], "id string, label string"))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_survivors_do_not_depend_on_partitions(spark, parts):
+    rnd = random.Random(3)
+    config = encode.EncodeConfig(max_residues=60, max_batch=4, max_seq_len=30)
+    rows = [(f"f{i % 2}", i, f"s{i}", "".join(rnd.choice("ACDEF" + "B" * (i % 9 == 0)) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
+    lost = set()
+    for file in ("f0", "f1"):
+        mine = sorted((r for r in rows if r[0] == file and r[3]), key=lambda r: (-len(r[3]), r[1]))
+        number = encode.batches_of([len(r[3]) for r in mine], 60, 4, 30)
+        bad = {b for b, r in zip(number, mine) if "B" in r[3]}
+        lost |= {r[2] for b, r in zip(number, mine) if b in bad} | {r[2] for r in rows if r[0] == file and not r[3]}
+    df = spark.createDataFrame([(*r, len(r[3])) for r in rows], "file string, pos bigint, id string, sequence string, length int").repartition(parts)
+    assert {r["id"] for r in encode.encode(df, picky(), config).collect()} == {r[2] for r in rows} - lost
+
+
+def test_half_precision(spark):
+    rows = [(0, [0.1, 70000.0, -1e-8]), (1, None), (2, []), (3, [2.0])]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    got = dict(rows_of(df.select("i", vectors.half_precision(F.col("v")).alias("h")), "i", "h"))
+    assert got == {0: [float(np.float16(0.1)), float("inf"), -0.0], 1: None, 2: [], 3: [2.0]}
+
+
 def test_head(spark, tmp_path):
     head = project.Head.init(8, 6, 4, 0.1, seed=1)
     head.mean[:], head.var[:] = 0.3, 2.0
@@ -296,23 +372,30 @@ def test_head(spark, tmp_path):
         project.Head.load(tmp_path / "bad.npz")
     rows = [(i, [float(v) for v in r], "keep") for i, r in enumerate(x)] + [(5, None, "n"), (6, [1.0], "short"), (7, [float("nan")] * 8, "nan")]
     df = spark.createDataFrame(rows, "row_id bigint, embedding array<double>, vec string")
-    got = {r["row_id"]: r["vec"] for r in project.project(df, head).collect()}
+    assert project.Head.load(f"file:{tmp_path}/h.npz").dims == (8, 6, 4)
+    got = {r["row_id"]: r["vec"] for r in project.project(df, head, batch_size=2).collect()}
     assert np.allclose([got[i] for i in range(5)], want, atol=1e-5) and [got[i] for i in (5, 6, 7)] == [None] * 3
 
 
 # ---- structure ------------------------------------------------------------------------------------------------------
 
-REPORT = "Length of Chain_1:  120 residues\nAligned length= 90, RMSD=   2.50, Seq_ID=0.1\nTM-score= 0.71234 (if normalized by length of Chain_1, i.e.)\n"
+REPORT = (
+    "Length of Chain_1:  120 residues\nLength of Chain_2:   75 residues\nAligned length= 90, RMSD=   2.50, Seq_ID=0.1\n"
+    "TM-score= 0.33333 (if normalized by length of Chain_2, i.e.)\nTM-score= 0.71234 (if normalized by length of Chain_1, i.e.)\n"
+)
 
 
 def test_reports(spark):
     assert structure.parse_text(REPORT) == (0.71234, 2.5, 0.75)
     with pytest.raises(ValueError):
         structure.parse_text(REPORT.replace("RMSD", "?"))
-    df = spark.createDataFrame([(0, REPORT), (1, "x"), (2, REPORT.replace("120", "0")), (3, None)], "i int, t string")
+    apart = REPORT.replace("Aligned length= 90, RMSD", "Aligned length= 90\nRMSD").replace("120 residues", "120")
+    with pytest.raises(ValueError):
+        structure.parse_text(apart)
+    df = spark.createDataFrame([(0, REPORT), (1, "x"), (2, REPORT.replace("120", "0")), (3, None), (4, apart)], "i int, t string")
     parts = structure.parse_report(F.col("t"))
     got = [tuple(r) for r in df.orderBy("i").select(parts["tm_score"], parts["aligned_length"], parts["coverage"]).collect()]
-    assert got == [(0.71234, 90, 0.75), (None, None, None), (0.71234, 90, 0.0), (None, None, None)]
+    assert got == [(0.71234, 90, 0.75), (None, None, None), (0.71234, 90, 0.0), (None, None, None), (None, None, None)]
 
 
 def test_structural_scores(spark, tmp_path):

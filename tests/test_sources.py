@@ -141,14 +141,70 @@ def test_import_arrays(spark, tmp_path):
     np.save(tmp_path / "embeddings.npy", m)
     np.save(tmp_path / "labels.npy", np.arange(4))
     (tmp_path / "ids.txt").write_text("a\n\n b \nc\nd\n")
+    with pytest.raises(FileNotFoundError):
+        store.import_arrays(spark, tmp_path)
+    about = {"n_embeddings": 4, "embedding_dim": 6, "dtype": "float16"}
+    (tmp_path / "metadata.json").write_text(json.dumps(about))
     rows = store.import_arrays(spark, tmp_path, rows_per_part=3).orderBy("row_id").collect()
     assert [(r["id"], r["label_idx"], r["embedding"]) for r in rows] == [(i, k, m[k].astype(float).tolist()) for k, i in enumerate("abcd")]
+    assert store.import_arrays(spark, f"file:{tmp_path}", require_labels=True).count() == 4
+    for key, wrong in (("n_embeddings", 5), ("embedding_dim", 7), ("dtype", "float32")):
+        (tmp_path / "metadata.json").write_text(json.dumps(about | {key: wrong}))
+        with pytest.raises(ValueError, match="metadata says"):
+            store.import_arrays(spark, tmp_path)
+    (tmp_path / "metadata.json").write_text("{}")
     (tmp_path / "ids.txt").write_text("a\n")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="ids"):
+        store.import_arrays(spark, tmp_path)
+    np.save(tmp_path / "labels.npy", np.arange(3))
+    with pytest.raises(ValueError, match="labels"):
         store.import_arrays(spark, tmp_path)
+    (tmp_path / "labels.npy").unlink()
+    with pytest.raises(ValueError, match="labels"):
+        store.import_arrays(spark, tmp_path, require_labels=True)
+
+
+def test_row_map_override(spark):
+    s = spark.createDataFrame([(0, "k", [1.0]), (1, "m", [2.0]), (2, "k", [3.0])], "row_id bigint, id string, embedding array<double>")
+    ids = spark.createDataFrame([(0, "k"), (1, "m")], "query_pos bigint, id string")
+    rows = lambda override: sorted((r["query_pos"], r["embedding"][0]) for r in store.gather(ids, s, override).collect())
+    assert rows(None) == [(0, 3.0), (1, 2.0)]
+    assert rows(spark.createDataFrame([("k", 0)], "id string, row_id bigint")) == [(0, 1.0)]
+
+
+def test_uris_and_plain_paths_name_the_same_files(spark, tmp_path):
+    folder = tmp_path / "two words+plus"
+    folder.mkdir()
+    for name, text in (("b.fasta", ">b1\nMK\n"), ("a.fa", ">a1\nGH\n>a2\n"), ("c.txt", ">no\n")):
+        (folder / name).write_text(text)
+    plain, uri = fasta.resolve_paths(folder), fasta.resolve_paths(f"file:{folder}")
+    assert list(plain) == list(uri) == ["b", "a"] and uri["a"] == f"file:{plain['a']}"
+    for source in (folder, f"file:{folder}", f"file://{folder}/", [f"file:{folder}/b.fasta", folder / "a.fa"]):
+        got = [tuple(r) for r in fasta.sequences(fasta.read_lines(spark, source)).orderBy("id").select("id", "sequence", "file").collect()]
+        assert got == [("a1", "GH", str(folder / "a.fa")), ("a2", "", str(folder / "a.fa")), ("b1", "MK", str(folder / "b.fasta"))]
+    assert fasta.resolve_paths(f"file:{folder}/none") == {}
+    at = f"file:{tmp_path}/store"
+    store.write_store(make(spark), at, vocabulary={0: "x"})
+    assert store.read_store(spark, tmp_path / "store")[1]["count"] == store.read_store(spark, at)[0].count()
+    with pytest.raises(FileExistsError):
+        store.write_store(make(spark), at)
+    df = spark.createDataFrame([("q", None)], "a string, b string")
+    assert (tmp_path / "sub" / "t.tsv").exists() is False
+    sinks.write_tsv(df, f"file:{tmp_path}/sub/t.tsv")
+    sinks.write_tsv(df, f"file:{tmp_path}/sub/t.tsv")
+    assert (tmp_path / "sub" / "t.tsv").read_bytes() == b"a\tb\r\nq\t\r\n" and [p.name for p in (tmp_path / "sub").iterdir()] == ["t.tsv"]
+
+
+def test_headers_are_inherited_over_chunks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(fasta, "LINES_PER_CHUNK", 3)
+    monkeypatch.setattr(fasta, "CHUNKS_PER_GROUP", 2)
+    body = [f"{'ACDEFGHIK'[i % 9]}" for i in range(60)]
+    lines = [("f", i, f">s{i}" if i in (4, 5, 31) else body[i]) for i in range(60)] + [("g", i, ">g" if i == 0 else "W") for i in range(25)]
+    got = {r["id"]: r["sequence"] for r in fasta.sequences(spark.createDataFrame(lines, "file string, pos bigint, line string")).collect()}
+    assert got == {"s4": "", "s5": "".join(body[6:31]), "s31": "".join(body[32:]), "g": "W" * 24}
 
 
-def test_vocabulary_sidecar(tmp_path):
+def test_vocabulary_sidecar(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"3": "x"}))
     assert store.vocabulary_of(tmp_path, {"idx_to_label_file": "v.json"}) == {3: "x"}
     assert store.vocabulary_of(tmp_path, {}) is None
@@ -158,13 +214,13 @@ def test_vocabulary_sidecar(tmp_path):
 def test_tsv(spark, tmp_path):
     df = spark.createDataFrame([("q1", "A", 0.1, 1.0), ("q2", "unknown", None, 0.0)], "query_id string, predicted_annotation string, distance double, confidence double")
     out = sinks.write_tsv(df.orderBy("query_id"), tmp_path / "p.tsv", sinks.prediction_columns(distance=True, confidence=True))
-    assert out.read_bytes() == b"query_id\tpredicted_annotation\tdistance\tconfidence\r\nq1\tA\t0.1\t1.0\r\nq2\tunknown\t\t0.0\r\n"
+    assert open(out, "rb").read() == b"query_id\tpredicted_annotation\tdistance\tconfidence\r\nq1\tA\t0.1\t1.0\r\nq2\tunknown\t\t0.0\r\n"
     assert [p.name for p in tmp_path.iterdir()] == ["p.tsv"]
     bad = df.withColumn("distance", F.raise_error("stop").cast("double"))
     with pytest.raises(Exception):
         sinks.write_tsv(bad, tmp_path / "q.tsv")
     assert [p.name for p in tmp_path.iterdir()] == ["p.tsv"]
-    assert sinks.write_metrics(df.limit(1), tmp_path / "m.json").read_text().startswith("{\n  ")
+    assert open(sinks.write_metrics(df.limit(1), tmp_path / "m.json")).read().startswith("{\n  ")
 
 
 def test_index_round_trip(spark, tmp_path):

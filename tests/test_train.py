@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from domainloom import train
 from domainloom.config import AnnotateConfig, EmbedConfig, IndexConfig, override
 from domainloom.operators.project import WEIGHTS, Head
+from domainloom.sources import sinks
 
 
 def numeric(f, a, at, eps=1e-6):
@@ -38,8 +40,18 @@ def test_gradients(loss):
         for at in [tuple(rng.integers(0, n) for n in a.shape) for _ in range(4)]:
             assert g[at] == pytest.approx(numeric(lambda: value()[0], a, at), abs=2e-5), name
     if loss == "proxy_anchor":
+        # proxies are set to unit length first, so only the part of their gradient across them shows in the loss
+        assert np.allclose(np.linalg.norm(proxies, axis=1), 1)
+        across = out[2] - (out[2] * proxies).sum(axis=1, keepdims=True) * proxies
         for at in [(0, 1), (3, 2)]:
-            assert out[2][at] == pytest.approx(numeric(lambda: value()[0], proxies, at), abs=2e-5)
+            kept = proxies.copy()
+            found = []
+            for eps in (1e-6, -1e-6):
+                proxies[:] = kept
+                proxies[at] += eps
+                found.append(value()[0])
+            proxies[:] = kept
+            assert across[at] == pytest.approx((found[0] - found[1]) / 2e-6, abs=2e-5)
 
 
 def test_clip_and_optimizer():
@@ -52,14 +64,11 @@ def test_clip_and_optimizer():
 
 
 def clusters(spark):
-    rng = np.random.default_rng(0)
-    centres = rng.normal(size=(4, 32))
-    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    rows = [(c * 50 + i, f"dom_c{c:02d}_{i:03d}", [float(v) for v in centres[c] + 0.15 * rng.normal(size=32)], c) for c in range(4) for i in range(50)]
+    rng = np.random.default_rng(17)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0][:6]
+    rows = [(1000 - i, f"chain{i}", [float(v) for v in 2 * centres[i % 6] + 0.2 * rng.normal(size=24)], 10 * (i % 6)) for i in range(240)]
     df = spark.createDataFrame(rows, "row_id bigint, id string, embedding array<float>, label_idx bigint")
-    order = rng.permutation(200)
-    parts = [order[:140], order[140:170], order[170:]]
-    return [df.where(df.row_id.isin([int(i) for i in p])) for p in parts]
+    return [df.where(f"row_id % 10 {part}") for part in ("< 7", "IN (7, 8)", "= 9")]
 
 
 @pytest.mark.parametrize("loss", ["supcon", "proxy_anchor"])
@@ -68,7 +77,7 @@ def test_training_smoke(spark, tmp_path, loss):
     config = train.TrainConfig(hidden_dim=32, output_dim=16, loss=loss, max_epochs=2, warmup_epochs=1, batch_size=32)
     result = train.fit(tr, va, {"held": te}, config, tmp_path)
     assert len(result.history) == 2 and result.tests["held"] >= 0.8
-    assert Head.load(tmp_path / "projection_head.npz").dims == (32, 32, 16)
+    assert Head.load(tmp_path / "projection_head.npz").dims == (24, 32, 16)
     assert json.loads((tmp_path / "history.json").read_text())["tests"] == result.tests
     again = train.fit(tr, va, None, config)
     assert all(np.array_equal(getattr(again.head, k), getattr(result.head, k)) for k in WEIGHTS)
@@ -76,8 +85,18 @@ def test_training_smoke(spark, tmp_path, loss):
 
 def test_training_limits(spark):
     tr, va, _ = clusters(spark)
-    with pytest.raises(ValueError):
-        train.fit(tr, va, config=train.TrainConfig(most_rows=10))
+    # sets beyond the bytes that may be held are read in parts: every row once an epoch, in another order
+    parts = train.Vectors(tr, 8 * 24 * 20)
+    assert parts.parts == 9 and parts.whole is None
+    whole = train.Vectors(tr, 10**9).whole
+    for epoch in (0, 1):
+        pieces = list(parts.epoch(epoch))
+        x, y = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+        assert max(len(p[0]) for p in pieces) < len(x) and sorted(map(tuple, np.c_[x, y])) == sorted(map(tuple, np.c_[whole[0], whole[1]]))
+    result = train.fit(tr, va, config=train.TrainConfig(hidden_dim=16, output_dim=8, max_epochs=2, warmup_epochs=1, batch_size=32, most_bytes=8 * 24 * 60))
+    assert len(result.history) == 2 and result.history[-1]["val_accuracy"] > 0.8
+    head = Head.init(24, 16, 8)
+    assert train.nearest_accuracy(head, whole, train.Vectors(va, 10**9).whole) == pytest.approx(train.evaluate(head, tr, va))
     with pytest.raises(ValueError):
         train.split_rows(tr, spark.createDataFrame([("none",)], "id string"))
 
@@ -103,15 +122,20 @@ def test_runs_end_to_end(spark, tmp_path):
     assert index.count() == 3
     config = AnnotateConfig(
         input=str(tmp_path / "in"), index=str(tmp_path / "index"), label_file=str(tmp_path / "labels.txt"), output_dir=str(tmp_path / "out"), k=2,
-        return_true_annotation=True, return_confidence=True, compute_metrics=True,
+        return_true_annotation=True, return_confidence=True, compute_metrics=True, num_thresholds=12, single_file=True,
     )
-    runs.run_annotate(spark, config)
-    lines = (tmp_path / "out" / "q_predictions.tsv").read_text().splitlines()
-    assert lines[0].split("\t") == ["query_id", "predicted_annotation", "distance", "confidence", "true_annotation"]
+    (tmp_path / "in" / "r.fa").write_text(">q1\nMNPQRSTVWY\n")
+    out = runs.run_annotate(spark, config)
+    lines = (tmp_path / "out" / "q_annotations.tsv").read_text().splitlines()
+    assert lines[0].split("\t") == ["query_id", "predicted_annotation", "true_annotation", "distance", "confidence"]
     rows = [x.split("\t") for x in lines[1:]]
-    assert [(r[0], r[1], r[4]) for r in rows] == [("q1", "B", "C"), ("q2", "missing_embedding", "unknown"), ("q0", "A", "A"), ("q0", "A", "A")]
+    assert (tmp_path / "out" / "r_annotations.tsv").read_text().splitlines()[1:][0].startswith("q1\tB\tC\t") and set(out) == {"q", "r"}
+    parts = runs.run_annotate(spark, dataclasses.replace(config, output_dir=f"file:{tmp_path}/parts", single_file=False))
+    kinds = "query_id string, predicted_annotation string, true_annotation string, distance double, confidence double"
+    assert [r["query_id"] for r in sinks.read_tsv(spark, parts["q"], kinds).collect()] == [r[0] for r in rows]
+    assert [(r[0], r[1], r[2]) for r in rows] == [("q1", "B", "C"), ("q2", "missing_embedding", "unknown"), ("q0", "A", "A"), ("q0", "A", "A")]
     assert json.loads((tmp_path / "out" / "q_metrics.json").read_text()) == {"evaluated": 3, "accuracy": pytest.approx(2 / 3)}
-    assert len((tmp_path / "out" / "q_selective_curve.tsv").read_text().splitlines()) == 51
+    assert len((tmp_path / "out" / "q_selective_curve.tsv").read_text().splitlines()) == 13
     found = runs.run_evaluate(spark, AnnotateConfig(store=str(tmp_path / "store"), index=str(tmp_path / "index"), label_file=str(tmp_path / "labels.txt")))
     assert found == {"evaluated": 3, "accuracy": 1.0}
 
