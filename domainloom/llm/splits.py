@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import number_rows
-from ..session import stage
+from ..session import dropped, stage
 from .components import contract, named_roots
 
 #: Hands that the components of a size band are dealt into.
@@ -43,8 +43,9 @@ def related(records: DataFrame, keys: list[str], id_col: str = "row_id", forest_
     if weighted is None:
         return records.withColumn("root", own)
     nodes, _, roots = contract(stage(weighted), forest_path)
+    of_node = stage(named_roots(nodes, roots).withColumnRenamed("node", "_node"))
     named = records.drop("root").withColumn("_node", own)
-    return named.join(named_roots(nodes, roots).withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
+    return named.join(of_node, "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
 
 
 def hand_plan(hands: list[tuple[int, int, int]], fractions: dict[str, float]) -> dict[tuple[int, int], str]:
@@ -103,7 +104,10 @@ def assign_splits(records: DataFrame, keys: list[str], fractions: dict[str, floa
     Every record gets a split; an empty table gives none.  Columns ``root`` and
     ``assigned`` of the input are replaced.
     """
-    rooted = stage(related(records.drop("assigned"), keys, id_col, forest_path))
+    # read three times: for the edges, for the roots, and with them
+    records = stage(records.drop("assigned"))
+    rooted = stage(related(records, keys, id_col, forest_path))
+    dropped(records)
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     return rooted.join(deal(sizes, fractions, seed), "root")
 
