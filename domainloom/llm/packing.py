@@ -13,14 +13,16 @@ containers up.
 
 from __future__ import annotations
 
+import logging
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.skew import number_rows
 from ..session import stage
@@ -28,16 +30,25 @@ from .tokens import token_count
 
 GROUPS = 64
 SMALL_SHARE = 1 / 4
+#: Units that the programs measure a container in; larger capacities are planned in coarser units, lengths rounded up.
+UNITS = 16_384
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400, gap: float = 2e-4) -> list[tuple[np.ndarray, float]]:
-    """Few-size configurations ``(items per size, containers)`` that cover ``demand``, near the least number of containers.
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400, gap: float = 2e-4) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Few-size configurations ``(items per size, containers)`` that cover ``demand``, and how far they may be above the least number of containers.
 
     A linear program over all configurations, solved by column generation: the
     dual prices of the sizes go to an unbounded knapsack, whose best filling
-    replaces a configuration as long as it lowers the cost by more than ``gap``.
+    replaces a configuration as long as it lowers the cost by more than ``gap``.  The
+    second result is the share by which the number may still exceed the program's
+    least one; above ``gap`` where ``rounds`` did not do.  A round takes at most
+    ``UNITS`` steps, whatever the capacity.
     """
     g = len(sizes)
+    unit = -(-capacity // UNITS)
+    capacity = capacity // unit
+    sizes = np.minimum(-(-sizes // unit), capacity)
+    left = np.inf
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     amount = inverse @ demand
@@ -47,6 +58,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         last = np.full(capacity + 1, -1)
         useful = np.flatnonzero(price > 1e-12)
         if not len(useful):
+            left = 0.0
             break
         s, p = sizes[useful], price[useful]
         for c in range(int(s.min()), capacity + 1):
@@ -57,7 +69,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
                 best[c], last[c] = values[i], useful[i]
             else:
                 best[c] = best[c - 1]
-        if best[capacity] <= 1 + gap:
+        left = best[capacity] - 1
+        if left <= gap:
             break
         column, c = np.zeros(g), capacity
         while c > 0:
@@ -78,7 +91,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         if turn % 50 == 49:
             inverse = np.linalg.inv(basis)
             amount = np.maximum(inverse @ demand, 0)
-    return [(basis[:, i].astype(np.int64), float(amount[i])) for i in range(g) if amount[i] > 1e-9]
+    return [(basis[:, i].astype(np.int64), float(amount[i])) for i in range(g) if amount[i] > 1e-9], max(float(left), 0.0)
 
 
 @dataclass
@@ -91,6 +104,7 @@ class Plan:
     free: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # residual -> runs (first, containers)
     residuals: list[int] = field(default_factory=list)  # sorted keys of free
     used: dict[int, int] = field(default_factory=dict)  # length -> items placed
+    gap: float = 0.0  # share by which the configurations may exceed the least number of containers
 
     def open(self, n: int) -> int:
         self.containers += n
@@ -164,7 +178,9 @@ def _configure(out: Plan, counts: dict[int, int], groups: int) -> None:
     size = np.array([lengths[m].max() for m in members])
     demand = np.array([number[m].sum() for m in members], dtype=float)
     ascending = np.argsort(size)
-    chosen = configurations(size[ascending], demand[ascending], out.capacity)
+    chosen, out.gap = configurations(size[ascending], demand[ascending], out.capacity)
+    if out.gap > 1e-3:
+        logging.getLogger(__name__).warning("containers of %d: up to %.2f %% more than the configurations need", out.capacity, 100 * out.gap)
     # remaining items of each group, longest first, as [length, number]
     left = [[[int(lengths[i]), int(number[i])] for i in m] for m in members]
     for content, amount in sorted(chosen, key=lambda x: -x[1]):
@@ -238,18 +254,17 @@ def pack(items: DataFrame, capacities: dict[str, int], length_col: str = "tokens
         first += [r[4] for r in rows]
     tables = spark.sparkContext.broadcast(tuple(np.array(x, dtype=np.int64) for x in (keys, starts, each, first)))
     numbered = number_rows(keyed, "_key", "_number")
-    id_type = items.schema[id_col].dataType.simpleString()
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, starts, each, first = tables.value
         bounds: dict[int, tuple[int, int]] = {}
-        for pdf in batches:
-            key, number = pdf["_key"].to_numpy(), pdf["_number"].to_numpy()
-            container = np.zeros(len(pdf), dtype=np.int64)
+        for batch in batches:
+            key, number, tokens = (batch.column(c).to_numpy() for c in ("_key", "_number", "tokens"))
+            container = np.zeros(len(key), dtype=np.int64)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order])) + 1
             for rows in np.split(order, cuts):
-                if not len(rows) or pdf["tokens"].iat[rows[0]] == 0:
+                if not len(rows) or tokens[rows[0]] == 0:
                     continue
                 k = key[rows[0]]
                 if k not in bounds:
@@ -257,12 +272,13 @@ def pack(items: DataFrame, capacities: dict[str, int], length_col: str = "tokens
                 lo, hi = bounds[k]
                 at = lo + np.searchsorted(starts[lo:hi], number[rows], side="right") - 1
                 container[rows] = first[at] + (number[rows] - starts[at]) // each[at]
-            out = pdf[[id_col, "piece", "start", "tokens"]].copy()
-            out.insert(0, "capacity_name", np.array(names, dtype=object)[pdf["_i"].to_numpy()] if len(pdf) else [])
-            out.insert(1, "container", container)
-            yield out
+            named = pa.array(np.array(names, dtype=object)[batch.column("_i").to_numpy()] if len(key) else [], pa.string())
+            # ids stay in Arrow, whatever their type
+            yield pa.RecordBatch.from_arrays([named, pa.array(container), *(batch.column(c) for c in (id_col, "piece", "start", "tokens"))], names=["capacity_name", "container", id_col, "piece", "start", "tokens"])
 
-    return numbered.mapInPandas(look_up, f"capacity_name string, container bigint, {id_col} {id_type}, piece bigint, start bigint, tokens bigint")
+    kinds = {f.name: f for f in numbered.schema.fields}
+    out = [T.StructField("capacity_name", T.StringType()), T.StructField("container", T.LongType()), *(kinds[c] for c in (id_col, "piece", "start", "tokens"))]
+    return numbered.mapInArrow(look_up, T.StructType(out))
 
 
 def pack_documents(documents: DataFrame, capacities: dict[str, int], vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

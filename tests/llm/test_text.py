@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from functools import partial
 from pathlib import Path
 
+import numpy as np
 import pytest
 from domainloom.llm import packing, spam, tokens
 from hypothesis import given, settings
@@ -97,6 +98,22 @@ def test_plans_are_tight():
     assert packing.plan({}, 60).containers == 0
 
 
+def test_large_capacities_are_planned_in_coarser_units():
+    rng = np.random.default_rng(2)
+    capacity = 100_003
+    histogram = {int(n): int(k) for n, k in zip(rng.integers(1, capacity + 1, 300), rng.integers(1, 9, 300))} | {capacity - 1: 3}
+    plan = packing.plan(histogram, capacity)
+    assert check(plan, histogram, capacity) / (plan.containers * capacity) > 0.9 and plan.gap < 0.01
+    sizes, demand = np.array([20, 31, 40]), np.array([900.0, 1000.0, 900.0])
+    assert packing.configurations(sizes, demand, 60)[1] <= 2e-4 < packing.configurations(sizes, demand, 60, rounds=1)[1]
+
+
+def test_ids_of_any_size_and_none(spark):
+    rows = [(2**60 + 3, 5), (None, 4), (2**60 + 4, 5)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), {"c": 10}).collect()
+    assert sorted(((r["doc_id"], r["tokens"]) for r in got), key=str) == sorted(rows, key=str)
+
+
 def test_pack(spark):
     lengths = [0, None, 1, 10, 10, 25, 7, 7, 7, 3, 20, 21, 1] * 20
     df = spark.createDataFrame([(i, n, "clash") for i, n in enumerate(lengths)] + [(3, 10, "x")], "doc_id bigint, tokens bigint, piece string").repartition(5)
