@@ -53,6 +53,30 @@ class KmerEncoder:
         return out
 
 
+RESIDUES = "ACDEFGHIKLMNPQRSTVWXY"
+
+
+class CompositionEncoder:
+    """The share of each of ``RESIDUES`` in a sequence."""
+
+    dim = len(RESIDUES)
+
+    def encode(self, sequences: Mapping[str, str]) -> dict[str, np.ndarray]:
+        return {name: np.array([seq.count(r) for r in RESIDUES], dtype=np.float32) / len(seq) for name, seq in sequences.items() if seq}
+
+
+class RefusingEncoder(CompositionEncoder):
+    """Raises on every batch that holds a length which ``divisor`` divides: a stand-in for a model that fails on some batches."""
+
+    def __init__(self, divisor: int) -> None:
+        self.divisor = divisor
+
+    def encode(self, sequences: Mapping[str, str]) -> dict[str, np.ndarray]:
+        if any(len(s) % self.divisor == 0 for s in sequences.values()):
+            raise ValueError(f"a length that {self.divisor} divides")
+        return super().encode(sequences)
+
+
 def masked(sequence: Column) -> Column:
     """U, Z and O replaced by X."""
     return F.translate(sequence, "UZO", "XXX")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from .. import train
 from ..functions.ids import split_of
 from ..operators import annotate as ann
 from ..operators import encode, knn, losses, metrics, project, structure, vectors
-from ..session import stage, table
-from ..sources import fasta, labels, sinks, store
+from ..session import shared_path, stage, table
+from ..sources import fasta, labels, paths, sinks, store
 from ..sources.reports import parameters
 from .scale import SQL_PARAMETERS, SQL_RECORDS, records_with_superfamily
 
@@ -209,15 +210,16 @@ def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _REPORT = (
-    "'Length of Chain_1: ' || (query_pos % 400) || ' residues\n' || CASE WHEN query_pos % 11 = 0 THEN 'failed' ELSE 'Aligned length= ' || (query_pos % 300)"
-    " || ', RMSD=   ' || (query_pos % 9) || '.5, Seq_ID=0.1\nTM-score= 0.' || (10 + query_pos % 90) || ' (if normalized by length of Chain_1)' END"
+    "'Length of Chain_1: ' || (query_pos % 400) || ' residues\nLength of Chain_2: 77 residues\n' || CASE WHEN query_pos % 11 = 0 THEN 'failed' WHEN query_pos % 13 = 0"
+    " THEN 'Aligned length= 5\nRMSD=   1.5\nTM-score= 0.9 (if normalized by length of Chain_1)' ELSE 'Aligned length= ' || (query_pos % 300)"
+    " || ', RMSD=   ' || (query_pos % 9) || '.5, Seq_ID=0.1\nTM-score= 0.01 (if normalized by length of Chain_2)\nTM-score= 0.' || (10 + query_pos % 90) || ' (if normalized by length of Chain_1)' END"
 )
 
 
 @query(f"""
 WITH r AS (SELECT query_pos, {_REPORT} AS t FROM annotations),
-p AS (SELECT query_pos, nullif(regexp_extract(t, 'Aligned length=\\s*(\\d+)', 1), '') AS a, nullif(regexp_extract(t, 'RMSD=\\s*([\\d.]+)', 1), '') AS r,
-             nullif(regexp_extract(t, 'Length of Chain_1:\\s*(\\d+)', 1), '') AS l, nullif(regexp_extract(t, 'TM-score=\\s*([\\d.]+)', 1), '') AS s FROM r)
+p AS (SELECT query_pos, nullif(regexp_extract(t, 'Aligned length=\\s*(\\d+),\\s*RMSD=', 1), '') AS a, nullif(regexp_extract(t, 'Aligned length=\\s*\\d+,\\s*RMSD=\\s*([\\d.]+)', 1), '') AS r,
+             nullif(regexp_extract(t, 'Length of Chain_1:\\s*(\\d+)\\s*residues', 1), '') AS l, nullif(regexp_extract(t, 'TM-score=\\s*([\\d.]+)\\s*\\(if normalized by length of Chain_1', 1), '') AS s FROM r)
 SELECT query_pos, CASE WHEN a IS NOT NULL THEN CAST(s AS DOUBLE) END AS tm_score, CASE WHEN a IS NOT NULL THEN CAST(r AS DOUBLE) END AS rmsd,
        CASE WHEN a IS NULL THEN NULL WHEN CAST(l AS INTEGER) > 0 THEN round(CAST(a AS INTEGER) / CAST(l AS INTEGER), 6) ELSE 0.0 END AS tm_coverage FROM p""")
 def tm_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,12 +233,49 @@ def lr_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return losses.learning_rates(spark, 200, 0.003).select("epoch", F.round("learning_rate", 9).alias("learning_rate"))
 
 
-@query()
+def _small_head() -> project.Head:
+    """A head of 64, 3 and 2 values with weights by rule."""
+    rule = lambda n, m, a, b: np.array([[((i * a + j * b) % 11 - 5) / 20 for j in range(m)] for i in range(n)])
+    row = lambda n, a: rule(1, n, 1, a)[0]
+    return project.Head(rule(3, 64, 7, 3), row(3, 4), 1 + row(3, 5), row(3, 2), row(3, 3), 1 + np.abs(row(3, 6)), rule(2, 3, 5, 8), row(2, 9))
+
+
+def _head_sql(head: project.Head) -> str:
+    """``row_id, y0, y1, len``: the head's output before its normalization, and its length, of the rows of ``good (row_id, v)``."""
+    scale = head.gamma / np.sqrt(head.var + project.BN_EPS)
+    hidden = ", ".join(f"list_inner_product(v, {(head.w1[h] * scale[h]).tolist()}) + {float((head.b1[h] - head.mean[h]) * scale[h] + head.beta[h])!r} AS h{h}" for h in range(3))
+    # the error function by formula 7.1.26 of Abramowitz and Stegun
+    t = lambda x: f"(1 / (1 + 0.3275911 * abs({x})))"
+    erf = lambda x: f"(sign({x}) * (1 - {t(x)} * (0.254829592 + {t(x)} * (-0.284496736 + {t(x)} * (1.421413741 + {t(x)} * (-1.453152027 + {t(x)} * 1.061405429)))) * exp(-({x}) * ({x}))))"
+    gelu = ", ".join(f"0.5 * h{h} * (1 + {erf(f'(h{h} / sqrt(2))')}) AS g{h}" for h in range(3))
+    out = ", ".join(" + ".join([repr(float(head.b2[o])), *[f"g{h} * ({float(head.w2[o][h])!r})" for h in range(3)]]) + f" AS y{o}" for o in range(2))
+    return f"""hid AS (SELECT row_id, {hidden} FROM good), act AS (SELECT row_id, {gelu} FROM hid), res AS (SELECT row_id, {out} FROM act),
+projected AS (SELECT row_id, y0, y1, greatest(sqrt(y0 * y0 + y1 * y1), 1e-12) AS len FROM res)"""
+
+
+@query(f"""
+WITH good AS (
+  SELECT row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embedding_store
+  WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))),
+{_head_sql(_small_head())}
+SELECT s.row_id, round(y0 / len, 4) AS first_value, round(y1 / len, 4) AS second_value FROM embedding_store s LEFT JOIN projected USING (row_id)""")
 def project_head(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stored vector through a seeded head; vectors that do not fit are null."""
-    head = project.Head.init(64, 32, 16)
-    rows = project.project(table(spark, folder, "embedding_store").select("row_id", "embedding"), head)
-    return rows.select("row_id", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first_value"), F.round(vectors.norm(F.col("vec")), 4).alias("norm"))
+    """Every stored vector through a head that is written and read back; vectors that do not fit are null."""
+    at = shared_path(spark, "head.npz")
+    _small_head().save(at)
+    rows = project.project(table(spark, folder, "embedding_store").select("row_id", "embedding"), project.Head.load(at))
+    return rows.select("row_id", *[F.round(F.get("vec", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate(("first_value", "second_value"))])
+
+
+@query(SQL_SEQUENCES + """
+SELECT row_number() OVER (ORDER BY file, pos) - 1 AS row_id, id, round((length(s) - length(replace(s, 'A', ''))) / length(s), 3) AS alanine, round((length(s) - length(replace(s, 'X', ''))) / length(s), 3) AS masked
+FROM (SELECT file, pos, id, translate(sequence, 'UZO', 'XXX') AS s FROM seqs) WHERE s <> ''""")
+def composition_encode(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence through an encoder of residue shares, as a store in the order of the input."""
+    seqs = fasta.sequences(table(spark, folder, "fasta_text"))
+    rows = encode.as_store(encode.encode(seqs, encode.CompositionEncoder, encode.EncodeConfig(dtype="float32")))
+    at = lambda letter: F.round(F.get("embedding", F.lit(encode.RESIDUES.index(letter))).cast("double"), 3)
+    return rows.select("row_id", "id", at("A").alias("alanine"), at("X").alias("masked"))
 
 
 @query()
@@ -332,12 +371,26 @@ def id_allow_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(rf"""
-WITH ids AS (SELECT file, pos, {_TOKEN} AS id FROM (SELECT file, pos, line AS h FROM fasta_text) WHERE starts_with(h, '>') AND {_TOKEN} <> '')
-SELECT i.file, i.pos, i.id, s.row_id, s.label_idx FROM ids i JOIN embedding_store s ON i.id = s.id""")
+WITH ids AS (SELECT {_TOKEN} AS id FROM (SELECT line AS h FROM fasta_text) WHERE starts_with(h, '>') AND {_TOKEN} <> '')
+SELECT i.id, s.row_id, s.label_idx FROM ids i JOIN embedding_store s ON i.id = s.id WHERE s.label_idx IS NOT NULL""")
 def split_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of a split: its FASTA ids found in the store."""
+    """Rows of a split: its FASTA ids found in the store with a label, repeated ids included."""
     ids = fasta.header_ids(table(spark, folder, "fasta_text"))
-    return ids.join(table(spark, folder, "embedding_store").select("id", "row_id", "label_idx"), "id").select("file", "pos", "id", "row_id", "label_idx")
+    return train.split_rows(table(spark, folder, "embedding_store"), ids).select("id", "row_id", "label_idx")
+
+
+@query("""
+WITH files AS (SELECT 'd' || vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION SELECT 'd' || (vec_id + 7) FROM embeddings WHERE vec_id % 4 = 1)
+SELECT vec_id AS query_pos, 'd' || vec_id AS query_id, 'd' || (vec_id * 2 % 500) AS target_id FROM embeddings
+WHERE 'd' || vec_id IN (SELECT id FROM files) AND 'd' || (vec_id * 2 % 500) IN (SELECT id FROM files)""")
+def structure_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits whose query and target both have a structure file."""
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    v = F.col("vec_id")
+    rows = table(spark, folder, "embeddings").select("vec_id")
+    hits = rows.select(v.alias("query_pos"), name(v).alias("query_id"), name(v * 2 % 500).alias("target_id"))
+    files = rows.where(v % 3 != 0).select(name(v).alias("id"), F.lit(".cif").alias("ext")).union(rows.where(v % 4 == 1).select(name(v + 7), F.lit(".ent")))
+    return structure.resolvable(hits, files.withColumn("path", F.concat("id", "ext"))).select("query_pos", "query_id", "target_id")
 
 
 @query(SQL_LABELS + """
@@ -495,12 +548,15 @@ def annotation_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.annotation_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("""
+SQL_CURVE = """
 WITH r AS (SELECT distance AS d, predicted_annotation = coalesce(true_annotation, 'unknown') AS ok FROM annotations WHERE distance IS NOT NULL AND NOT isnan(distance)),
 e AS (SELECT min(d) AS lo, max(d) AS hi FROM r),
 t AS (SELECT CASE WHEN i = 49 THEN hi ELSE lo + i * (hi - lo) / 49 END AS t FROM e, (SELECT unnest(range(50)) AS i))
 SELECT round(t, 6) AS threshold, round(avg(CAST(d <= t AS DOUBLE)), 6) AS coverage, round(coalesce(avg(CASE WHEN d <= t THEN CAST(ok AS DOUBLE) END), 0.0), 6) AS accuracy
-FROM t, r GROUP BY t""")
+FROM t, r GROUP BY t"""
+
+
+@query(SQL_CURVE)
 def selective_curve(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "annotations").withColumn("true_annotation", ann.decode(F.col("true_annotation")))
     return metrics.selective_curve(rows).select(*[F.round(c, 6).alias(c) for c in ("threshold", "coverage", "accuracy")])
@@ -577,7 +633,7 @@ def ordered_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return ann.in_query_order(table(spark, folder, "annotations").select("query_pos", "query_id")).select("query_id", "query_pos", "position")
 
 
-@query(SQL_SEQUENCES.replace("WITH kept", "WITH RECURSIVE kept") + """
+SQL_BATCHES = SQL_SEQUENCES.replace("WITH kept", "WITH RECURSIVE kept") + """
 , o AS (SELECT file, id, length, row_number() OVER (PARTITION BY file ORDER BY length DESC, pos) AS n FROM seqs),
 fold AS (
   SELECT file, id, length, n, 0 AS batch, CASE WHEN length >= 4000 OR length > 1000 OR 1 >= 100 THEN 0 ELSE 1 END AS items,
@@ -587,11 +643,132 @@ fold AS (
   SELECT o.file, o.id, o.length, o.n, f.next, CASE WHEN shut THEN 0 ELSE f.items + 1 END, CASE WHEN shut THEN 0 ELSE f.total + o.length END, CASE WHEN shut THEN f.next + 1 ELSE f.next END
   FROM (SELECT *, 0 AS z FROM fold) f JOIN o ON o.file = f.file AND o.n = f.n + 1,
        LATERAL (SELECT f.items + 1 >= 100 OR f.total + o.length >= 4000 OR o.length > 1000 AS shut))
-SELECT file, id, CAST(batch AS INTEGER) AS batch FROM fold""")
+"""
+
+
+@query(SQL_BATCHES + "SELECT file, id, CAST(batch AS INTEGER) AS batch FROM fold")
 def encoder_batches(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoder_batches(fasta.sequences(table(spark, folder, "fasta_text"))).select("file", "id", "batch")
 
 
+@query(SQL_BATCHES + """
+, bad AS (SELECT DISTINCT file, batch FROM fold WHERE length > 0 AND length % 97 = 0)
+SELECT f.file, f.id, CASE WHEN b.batch IS NOT NULL THEN 'ValueError: a length that 97 divides' END AS failure
+FROM fold f LEFT JOIN bad b ON f.file = b.file AND f.batch = b.batch WHERE f.length > 0
+UNION ALL SELECT file, id, 'empty sequence' FROM fold WHERE length = 0""")
+def encoded_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Which sequences an encoder gives vectors for that refuses batches by a length in them."""
+    return encode.encode_all(fasta.sequences(table(spark, folder, "fasta_text")), lambda: encode.RefusingEncoder(97)).select("file", "id", "failure")
+
+
+# ---- sinks, read back ---------------------------------------------------------------------------------------------
+
+_PREDICTIONS = ["query_id", "predicted_annotation", "true_annotation", "distance", "confidence", "tm_score", "rmsd", "tm_coverage"]
+_SQL_REPORT = """
+WITH last AS (SELECT query_id, max(query_pos) AS l FROM annotations GROUP BY query_id)
+SELECT nullif(a.query_id, '') AS query_id, predicted_annotation, true_annotation, distance, confidence, tm_score, rmsd, tm_coverage
+FROM annotations a JOIN last ON a.query_id IS NOT DISTINCT FROM last.query_id"""
+
+
+def _report(spark: SparkSession, folder: str, parts: bool) -> DataFrame:
+    at = shared_path(spark, "report")
+    rows = ann.in_query_order(table(spark, folder, "annotations")).orderBy("position")
+    columns = sinks.prediction_columns(truth=True, distance=True, confidence=True, structure=True)
+    (sinks.write_tsv_parts if parts else sinks.write_tsv)(rows, at, columns)
+    return sinks.read_tsv(spark, at, ", ".join(f"{c} {'string' if i < 3 else 'double'}" for i, c in enumerate(_PREDICTIONS)))
+
+
+@query(_SQL_REPORT)
+def prediction_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of all predictions as one file, read back by its header."""
+    return _report(spark, folder, parts=False)
+
+
+@query(_SQL_REPORT)
+def prediction_report_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a folder of parts."""
+    return _report(spark, folder, parts=True)
+
+
+@query(f"""
+SELECT count(*) AS evaluated, round(coalesce(avg(CAST(predicted_annotation = coalesce(true_annotation, 'unknown') AS DOUBLE)), 0.0), 6) AS accuracy
+FROM annotations WHERE {_ANNOTATED}""")
+def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics file, read back."""
+    at = shared_path(spark, "metrics.json")
+    rows = table(spark, folder, "annotations").withColumn("true_annotation", ann.decode(F.col("true_annotation")))
+    sinks.write_metrics(metrics.annotation_accuracy(rows), at)
+    return spark.read.option("multiLine", True).schema("evaluated bigint, accuracy double").json(at).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(SQL_CURVE)
+def curve_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve file, read back."""
+    at = shared_path(spark, "curve.tsv")
+    rows = table(spark, folder, "annotations").withColumn("true_annotation", ann.decode(F.col("true_annotation")))
+    sinks.write_tsv(metrics.selective_curve(rows).orderBy("threshold"), at, ["threshold", "coverage", "accuracy"])
+    return sinks.read_tsv(spark, at, "threshold double, coverage double, accuracy double").select(*[F.round(c, 6).alias(c) for c in ("threshold", "coverage", "accuracy")])
+
+
+@query(SQL_LABELS + """
+, n AS (SELECT row_id, id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM vector_index WHERE vec IS NOT NULL)
+SELECT row_id, n.id, coalesce(l.label, 'unknown') AS label, round(v[1] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 5) AS first_value
+FROM n LEFT JOIN lab l ON n.id = l.id""")
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of ``build_index`` written and read back."""
+    at = shared_path(spark, "index")
+    rows = table(spark, folder, "vector_index").where(F.col("vec").isNotNull()).select("row_id", "id", "vec")
+    sinks.write_index(sinks.build_index(rows, labels.label_table(table(spark, folder, "label_text"))), at)
+    return sinks.read_index(spark, at).select("row_id", "id", "label", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first_value"))
+
+
+_WHOLE = "id IS NOT NULL AND len(embedding) = 64"
+
+
+@query(f"SELECT row_id, id, label_idx, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[64] AS DOUBLE), 5) AS last_value FROM embedding_store WHERE {_WHOLE}")
+def stored_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """A store made, kept, and found again by the resolver, which checks it against its metadata."""
+    at = shared_path(spark, "store")
+    rows = table(spark, folder, "embedding_store").where(F.col("id").isNotNull() & (F.size("embedding") == 64)).select("row_id", "id", "embedding", "label_idx")
+    store.resolve_store(spark, at, lambda: rows)
+    found = store.resolve_store(spark, at)
+    return found.select("row_id", "id", "label_idx", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(63)).cast("double"), 5).alias("last_value"))
+
+
+@query("SELECT label_idx, label FROM label_vocab")
+def stored_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """The label names of a store's metadata, read back from its sidecar."""
+    at = shared_path(spark, "store")
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("vec_id").cast("string").alias("id"), "embedding")
+    # one row per class
+    names = {r["label_idx"]: r["label"] for r in table(spark, folder, "label_vocab").collect()}
+    store.write_store(rows, at, source="embeddings", vocabulary=names)
+    return spark.createDataFrame(list(store.vocabulary_of(at, store.read_store(spark, at)[1]).items()), "label_idx bigint, label string")
+
+
+@query(SQL_SEQUENCES + "SELECT file, id, sequence FROM seqs")
+def fasta_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences of a folder of FASTA files, one for each ``file`` of the lines."""
+    at = shared_path(spark, "fasta")
+    lines = table(spark, folder, "fasta_text").where(F.col("line").isNotNull())
+    # a few files; each one's lines stream through the driver
+    for (name,) in lines.select("file").distinct().collect():
+        own = lines.where(F.col("file") == name).orderBy("pos").select("line")
+        paths.write_lines(paths.join(at, name), (r["line"] + "\n" for r in own.toLocalIterator()))
+    rows = fasta.sequences(fasta.read_lines(spark, at))
+    return rows.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "id", "sequence")
+
+
+@query(f"SELECT query_pos, confidence FROM annotations WHERE {_ANNOTATED} AND confidence IS NOT NULL")
+def annotation_confidences(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.confidences(table(spark, folder, "annotations"))
+
+
+@query("SELECT round(avg(CAST(predicted_annotation = true_annotation AS DOUBLE)), 6) AS accuracy FROM annotations")
+def column_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.accuracy(table(spark, folder, "annotations"), "predicted_annotation", "true_annotation").select(F.round("accuracy", 6).alias("accuracy"))
+
+
 @query(SQL_RECORDS + SQL_PARAMETERS + """
 , sized AS (SELECT superfamily, count(*) AS records FROM sf WHERE superfamily IS NOT NULL GROUP BY 1)
 SELECT superfamily, records FROM sized

@@ -50,6 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._domainloom_dir
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{checkpoint_dir(spark)}/domainloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 

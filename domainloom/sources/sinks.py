@@ -43,13 +43,14 @@ def write_tsv(rows: DataFrame, path: str | Path, columns: list[str] | None = Non
 
 
 def read_tsv(spark: SparkSession, path: str | Path, schema: str) -> DataFrame:
-    """A report of ``write_tsv`` or ``write_tsv_parts``; empty cells are null."""
-    return spark.read.option("sep", "\t").option("header", True).option("nullValue", "").option("enforceSchema", False).schema(schema).csv(paths.text_of(path))
+    """A report of ``write_tsv`` or ``write_tsv_parts`` whose columns must be those of ``schema``; empty cells are null."""
+    options = {"sep": "\t", "header": True, "nullValue": "", "enforceSchema": False, "escape": '"', "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
+    return spark.read.options(**options).schema(schema).csv(paths.text_of(path))
 
 
 def write_tsv_parts(rows: DataFrame, path: str | Path, columns: list[str] | None = None) -> None:
     """A folder of TSV parts, each with a header; order is kept within and across part numbers."""
-    rows.select(*(columns or rows.columns)).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(str(path))
+    rows.select(*(columns or rows.columns)).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(str(path))
 
 
 def write_metrics(row: DataFrame, path: str | Path) -> str:
