@@ -268,13 +268,14 @@ def project_head(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(SQL_SEQUENCES + """
-SELECT row_number() OVER (ORDER BY file, pos) - 1 AS row_id, id, round((length(s) - length(replace(s, 'A', ''))) / length(s), 3) AS alanine, round((length(s) - length(replace(s, 'X', ''))) / length(s), 3) AS masked
+SELECT row_number() OVER (ORDER BY file, pos) - 1 AS row_id, id, CAST(floor(1000.0 * (length(s) - length(replace(s, 'A', ''))) / length(s) + 0.3217) AS BIGINT) AS alanine, CAST(floor(1000.0 * (length(s) - length(replace(s, 'X', ''))) / length(s) + 0.3217) AS BIGINT) AS masked
 FROM (SELECT file, pos, id, translate(sequence, 'UZO', 'XXX') AS s FROM seqs) WHERE s <> ''""")
 def composition_encode(spark: SparkSession, folder: str) -> DataFrame:
     """Every sequence through an encoder of residue shares, as a store in the order of the input."""
     seqs = fasta.sequences(table(spark, folder, "fasta_text"))
     rows = encode.as_store(encode.encode(seqs, encode.CompositionEncoder, encode.EncodeConfig(dtype="float32")))
-    at = lambda letter: F.round(F.get("embedding", F.lit(encode.RESIDUES.index(letter))).cast("double"), 3)
+    # thousandths, cut where no share of a short sequence lies
+    at = lambda letter: F.floor(1000 * F.get("embedding", F.lit(encode.RESIDUES.index(letter))).cast("double") + 0.3217)
     return rows.select("row_id", "id", at("A").alias("alanine"), at("X").alias("masked"))
 
 
