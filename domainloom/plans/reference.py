@@ -258,13 +258,13 @@ WITH good AS (
   SELECT row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embedding_store
   WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))),
 {_head_sql(_small_head())}
-SELECT s.row_id, round(y0 / len, 4) AS first_value, round(y1 / len, 4) AS second_value FROM embedding_store s LEFT JOIN projected USING (row_id)""")
+SELECT s.row_id, round(y0 / len, 2) AS first_value, round(y1 / len, 2) AS second_value FROM embedding_store s LEFT JOIN projected USING (row_id)""")
 def project_head(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored vector through a head that is written and read back; vectors that do not fit are null."""
     at = shared_path(spark, "head.npz")
     _small_head().save(at)
     rows = project.project(table(spark, folder, "embedding_store").select("row_id", "embedding"), project.Head.load(at))
-    return rows.select("row_id", *[F.round(F.get("vec", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate(("first_value", "second_value"))])
+    return rows.select("row_id", *[F.round(F.get("vec", F.lit(i)).cast("double"), 2).alias(n) for i, n in enumerate(("first_value", "second_value"))])
 
 
 @query(SQL_SEQUENCES + """
