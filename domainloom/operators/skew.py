@@ -186,9 +186,10 @@ def superfamily_profiles(records: DataFrame, key: str = "superfamily", chunk_row
 
     def states(pdf: pd.DataFrame, piece: np.ndarray) -> pd.DataFrame:
         n = int(piece.max()) + 1
-        good = pdf["embedding"].notna().to_numpy()
-        of = piece[good]
-        m = np.concatenate(pdf["embedding"][good].to_numpy()).astype(np.float64).reshape(-1, dim) if len(of) else np.empty((0, dim))
+        fits = np.array([v is not None and len(v) == dim for v in pdf["embedding"]], dtype=bool)
+        m = np.concatenate(pdf["embedding"][fits].to_numpy()).astype(np.float64).reshape(-1, dim) if fits.any() else np.empty((0, dim))
+        good = ~np.isnan(m).any(axis=1) & (m != 0).any(axis=1)
+        m, of = m[good], piece[fits][good]
         total = np.zeros((n, dim))
         np.add.at(total, of, m)
         return pd.DataFrame({"records": np.bincount(piece, minlength=n), "usable": np.bincount(of, minlength=n), "total": list(total)})
@@ -203,9 +204,7 @@ def superfamily_profiles(records: DataFrame, key: str = "superfamily", chunk_row
         return pd.DataFrame(out | {"total": list(total)})
 
     schema = "records bigint, usable bigint, total array<double>"
-    v = F.col("embedding")
-    whole = (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    merged = chunked_by_key(known.select(key, F.when(whole, v).alias("embedding")), key, states, merge, schema, chunk_rows)
+    merged = chunked_by_key(known.select(key, "embedding"), key, states, merge, schema, chunk_rows)
     return merged.join(sources, key, "left").select(
         key, "records", "usable", F.coalesce("sources", F.lit(0)).cast("bigint").alias("sources"),
         F.when(F.col("usable") > 0, F.transform("total", lambda x: x / F.col("usable"))).alias("mean"),

@@ -470,7 +470,7 @@ def _class_means(e: DataFrame) -> DataFrame:
     u = e.select("label", F.posexplode(vectors.l2_normalize(F.col("vec"))).alias("i", "x"))
     sums = u.groupBy("label", "i").agg(F.sum("x").alias("s"))
     # as many entries as a vector has values
-    return sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p.s).alias("vec"))
+    return sums.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p.s).alias("vec"))
 
 
 @query(_neighbours_sql(5) + _vote_sql(5, 1.0, "CASE WHEN db_row % 3 <> 0 THEN 'f' || (db_row % 4) END") + _VOTED)

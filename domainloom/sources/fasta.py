@@ -105,9 +105,9 @@ def sequences(lines: DataFrame, first_wins: bool = True) -> DataFrame:
     is_header = F.col("line").startswith(">")
     parts = _starts(kept, is_header).where(F.col("start").isNotNull())
     head = F.max(F.when(is_header, header_token(F.col("line"))))
-    body = F.array_sort(F.collect_list(F.when(~is_header, F.struct("pos", "line"))))
+    body = F.sort_array(F.collect_list(F.when(~is_header, F.struct("pos", "line"))))
     records = parts.groupBy("file", *([order] if order != "file" else []), "start").agg(
-        head.alias("id"), F.translate(F.array_join(F.transform(body, lambda x: x.line), ""), "-", "").alias("sequence")
+        head.alias("id"), F.translate(F.array_join(body.getField("line"), ""), "-", "").alias("sequence")
     ).where(F.col("id") != "")
     if first_wins:
         earliest = records.groupBy("id").agg(F.min_by(F.struct("file", "start", "sequence"), F.struct(order, "start")).alias("r"))
