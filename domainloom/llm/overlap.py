@@ -29,7 +29,7 @@ def _matches(evaluation: DataFrame, training: DataFrame, need: int | None, jacca
         # positions count from the end, where the tokens that both sides can hold are
         known = (
             sets.select("rep", F.explode("tokens").alias("token")).join(looked_up, "token").groupBy("rep")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x.token).alias("ordered"))
+            .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).getField("token").alias("ordered"))
         )
         rows = known.join(sets.select("rep", F.size("tokens").alias("size"), *carry), "rep").where(F.size("ordered") >= least(F.col("size")))
         head = F.slice("ordered", 1, F.size("ordered") - least(F.col("size")) + 1)

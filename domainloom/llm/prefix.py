@@ -8,7 +8,11 @@ least l tokens among each one's first size - need + l.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PROBE_COST, VERIFY_COST = 1.0, 4.0
@@ -34,12 +38,12 @@ def ordered_sets(exploded: DataFrame, counts: DataFrame) -> DataFrame:
     looked_up = F.broadcast(counts) if counts.count() <= BROADCAST_TOKENS else counts
     return (
         exploded.join(looked_up, "token").groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
     )
 
 
-def adaptive_prefixes(sets: DataFrame, need: Column | int, most: int) -> DataFrame:
-    """``rep, level, token``: the prefix of the level that is cheapest for each set.
+def adaptive_prefixes(sets: DataFrame, need: int, most: int) -> DataFrame:
+    """``rep, level, token``: the prefix of the level that is cheapest for each set of ``sets (rep, shared)``.
 
     Level l takes the first size - need + l tokens (those that no other set holds
     come first and cost nothing) and asks for l shared ones.  Its cost is one
@@ -47,19 +51,26 @@ def adaptive_prefixes(sets: DataFrame, need: Column | int, most: int) -> DataFra
     expected candidate; at most entries / l sets can share l of them.  Sets with
     fewer than ``need`` shared tokens have no partner and give no row.
     """
-    need_col = need if isinstance(need, Column) else F.lit(need)
-    size = F.size("shared")
-
-    def option(level: int) -> Column:
-        head = F.slice("shared", 1, F.greatest(size - need_col + level, F.lit(0)))
-        entries = F.aggregate(head, F.lit(0.0), lambda s, x: s + (x.n - 1))
-        return F.struct(
-            (entries * PROBE_COST + entries / level * VERIFY_COST).alias("cost"), F.lit(level).alias("level"), head.alias("head")
-        )
-
-    levels = [F.when(need_col >= level, option(level)) for level in range(1, most + 1)]
-    best = F.array_min(F.filter(F.array(*levels), lambda x: x.isNotNull()))
-    return (
-        sets.where(size >= need_col).select("rep", best.alias("b"))
-        .select("rep", F.col("b.level").alias("level"), F.explode("b.head.token").alias("token"))
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shared")
+            size = lists.value_lengths().to_numpy()
+            flat = lists.flatten()
+            token = flat.field("token").to_numpy()
+            reached = np.r_[0.0, np.cumsum(flat.field("n").to_numpy() - 1.0)]
+            start = np.cumsum(size) - size
+            rows = np.flatnonzero(size >= need)
+            start, size = start[rows], size[rows]
+            cost, level, length = np.full(len(rows), np.inf), np.ones(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int64)
+            for l in range(1, min(need, most) + 1):
+                entries = reached[start + size - need + l] - reached[start]
+                now = entries * PROBE_COST + entries / l * VERIFY_COST
+                better = now < cost
+                cost, level, length = np.where(better, now, cost), np.where(better, l, level).astype(np.int32), np.where(better, size - need + l, length)
+            within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep").take(pa.array(np.repeat(rows, length))), pa.array(np.repeat(level, length)), pa.array(token[np.repeat(start, length) + within])], names=["rep", "level", "token"]
+            )
+
+    return sets.select("rep", "shared").mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, level int, token bigint")

@@ -140,18 +140,28 @@ def copy_key(unit: np.ndarray, exact: bool = False) -> list[bytes]:
     multiple whose stored values were rounded is then a vector of its own.
     """
     q = np.ascontiguousarray(unit + 0.0 if exact else np.round(unit * 2**14).astype(np.int16))
-    width, whole = q.strides[0], memoryview(q).cast("B") if q.size else b""
+    width, whole = max(1, q.shape[1] * q.itemsize), memoryview(q).cast("B") if q.size else b""
     return [hashlib.blake2b(whole[i : i + width], digest_size=16).digest() for i in range(0, len(q) * width, width)]
 
 
+def usable_rows(vectors: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, values)`` of the usable vectors among Arrow lists, as ``usable`` says: their rows, and their values laid end to end."""
+    places = np.flatnonzero(vectors.value_lengths().fill_null(-1).to_numpy() == dim)
+    values = vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # a null value becomes NaN
+    good = ~np.isnan(values).any(axis=1) & (values != 0).any(axis=1)
+    return places[good], values[good].ravel()
+
+
 def with_copy_key(vectors: DataFrame, id_col: str, vec_col: str, *keep: str, dim: int = DIM, exact: bool = False) -> DataFrame:
     """``id_col, *keep, copy binary, vec array<float>`` of the usable vectors with an id; ``vec`` holds the stored values, ``exact`` is as in ``copy_key``."""
-    base = vectors.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull()).select(id_col, *keep, F.col(vec_col).cast("array<float>").alias("vec"))
+    base = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(id_col, *keep, F.col(vec_col).cast("array<float>").alias("vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copy = pa.array(copy_key(unit_rows(batch.column("vec").flatten().to_numpy(), dim), exact), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, copy], names=[*batch.schema.names, "copy"])
+            places, values = usable_rows(batch.column("vec"), dim)
+            kept = batch.take(pa.array(places))
+            copy = pa.array(copy_key(unit_rows(values, dim), exact), pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept.columns, copy], names=[*kept.schema.names, "copy"])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("copy", T.BinaryType())]))
 
