@@ -70,7 +70,9 @@ class TrainRunConfig:
     train: str = ""
     val: str = ""
     test: str = ""
-    output_dir: str = "."
+    output_dir: str | None = "."
+    #: Where the head goes, if not into ``output_dir``; with neither, nothing is written.
+    checkpoint_dir: str | None = None
     fit: TrainConfig = field(default_factory=TrainConfig)
 
 

@@ -123,6 +123,6 @@ def run_train(spark: SparkSession, config: TrainRunConfig) -> Result:
         return split_rows(rows, fasta.header_ids(fasta.read_lines(spark, path)))
 
     tests = {stem: split(path) for stem, path in fasta.resolve_paths(config.test).items()} if config.test else {}
-    result = fit(split(config.train), split(config.val), tests, config.fit, config.output_dir)
+    result = fit(split(config.train), split(config.val), tests, config.fit, config.checkpoint_dir or config.output_dir)
     result.classes = names
     return result

@@ -165,3 +165,23 @@ def test_store_training_is_the_whole_run(spark, small, monkeypatch):
     monkeypatch.setattr(train, "fit", fit)
     assert catalogue.queries()["train_head_store"](spark, small).count() == 1
     assert seen["config"] == train.TrainConfig() and seen["rows"] > seen["val"] > 0
+
+
+@pytest.mark.parametrize("checkpoint", [True, False])
+def test_train_run(spark, tmp_path, checkpoint):
+    from domainloom import runs
+    from domainloom.config import TrainRunConfig
+    from domainloom.sources import store
+
+    tr, va, te = clusters(spark)
+    store.write_store(tr.union(va).union(te), tmp_path / "store")
+    for name, rows in (("train", tr), ("val", va), ("test", te)):
+        (tmp_path / f"{name}.fasta").write_text("".join(f">{r['id']}\nMK\n" for r in rows.select("id").collect()) + ">elsewhere\nMK\n")
+    config = TrainRunConfig(
+        store=str(tmp_path / "store"), train=str(tmp_path / "train.fasta"), val=str(tmp_path / "val.fasta"), test=str(tmp_path / "test.fasta"), output_dir=str(tmp_path / "out"),
+        checkpoint_dir=str(tmp_path / "kept") if checkpoint else None, fit=train.TrainConfig(hidden_dim=16, output_dim=8, max_epochs=2, warmup_epochs=1, batch_size=32),
+    )
+    result = runs.run_train(spark, config)
+    # the store names no classes, so they are named by their numbers
+    assert result.classes == {10 * c: str(10 * c) for c in range(6)} and result.tests["test"] > 0.8
+    assert (tmp_path / ("kept" if checkpoint else "out") / "projection_head.npz").exists() and (tmp_path / "out").exists() is not checkpoint
