@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import train
+from .. import runs, train
+from ..config import AnnotateConfig, EmbedConfig, IndexConfig
 from ..functions.ids import split_of
 from ..operators import annotate as ann
 from ..operators import encode, knn, losses, metrics, project, structure, vectors
@@ -747,19 +748,59 @@ def stored_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(store.vocabulary_of(at, store.read_store(spark, at)[1]).items()), "label_idx bigint, label string")
 
 
-@query(SQL_SEQUENCES + "SELECT file, id, sequence FROM seqs")
-def fasta_from_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The sequences of a folder of FASTA files, one for each ``file`` of the lines."""
+def _fasta_folder(spark: SparkSession, folder: str) -> str:
+    """A folder of FASTA files, one for each ``file`` of the lines."""
     at = shared_path(spark, "fasta")
     lines = table(spark, folder, "fasta_text").where(F.col("line").isNotNull())
     # a few files; each one's lines stream through the driver
     for (name,) in lines.select("file").distinct().collect():
         own = lines.where(F.col("file") == name).orderBy("pos").select("line")
         paths.write_lines(paths.join(at, name), (r["line"] + "\n" for r in own.toLocalIterator()))
+    return at
+
+
+@query(SQL_SEQUENCES + "SELECT file, id, sequence FROM seqs")
+def fasta_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences of a folder of FASTA files."""
+    at = _fasta_folder(spark, folder)
     rows = fasta.sequences(fasta.read_lines(spark, at))
     return rows.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "id", "sequence")
 
 
+@query(SQL_SEQUENCES + SQL_LABELS.replace("WITH toks", ", toks", 1) + f"""
+, coded AS (
+  SELECT row_number() OVER (ORDER BY file, pos) - 1 AS row_id, id,
+         list_transform({list(encode.RESIDUES)}, lambda r: (length(s) - length(replace(s, r, ''))) / length(s)) AS v
+  FROM (SELECT file, pos, id, translate(sequence, 'UZO', 'XXX') AS s FROM seqs) WHERE s <> ''),
+units AS (
+  SELECT row_id, c.id, coalesce(l.label, 'unknown') AS label, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS u FROM coded c LEFT JOIN lab l ON c.id = l.id),
+heads AS (SELECT file, pos, {_TOKEN} AS id, row_number() OVER (ORDER BY file, pos) AS query_pos FROM (SELECT file, pos, line AS h FROM fasta_text) WHERE starts_with(h, '>') AND {_TOKEN} <> ''),
+pairs AS (SELECT query_pos, d.row_id AS db_row, d.label, round(list_inner_product(q.u, d.u), 6) AS similarity FROM heads h JOIN units q ON h.id = q.id JOIN units d ON TRUE),
+nn AS (SELECT *, 1.0 - similarity AS distance, row_number() OVER (PARTITION BY query_pos ORDER BY similarity DESC, db_row) AS rank FROM pairs QUALIFY rank <= 1)
+""" + _vote_sql(1, 1.0, "label") + """
+SELECT h.file, h.id AS query_id, coalesce(predicted_annotation, 'missing_embedding') AS predicted_annotation, coalesce(l.label, 'unknown') AS true_annotation,
+       round(abs(distance), 3) AS distance, confidence
+FROM heads h LEFT JOIN voted v ON h.query_pos = v.query_pos LEFT JOIN lab l ON h.id = l.id""")
+def annotation_run(spark: SparkSession, folder: str) -> DataFrame:
+    """FASTA files encoded into a store, made an index of, and annotated against it, read from the reports."""
+    at, store_at, index_at, label_at = _fasta_folder(spark, folder), shared_path(spark, "store"), shared_path(spark, "index"), shared_path(spark, "labels.txt")
+    lines = table(spark, folder, "label_text").where(F.col("line").isNotNull()).orderBy("pos").select("line")
+    paths.write_lines(label_at, (r["line"] + "\n" for r in lines.toLocalIterator()))
+    config = encode.EncodeConfig(dtype="float32")
+    runs.run_embed(spark, EmbedConfig(input=at, output_dir=store_at, encode=config), encode.CompositionEncoder)
+    runs.run_build_index(spark, IndexConfig(input=at, store=store_at, label_file=label_at, output=index_at, dtype="float32", encode=config), encode.CompositionEncoder)
+    reports = runs.run_annotate(spark, AnnotateConfig(
+        input=at, index=index_at, store=store_at, label_file=label_at, output_dir=shared_path(spark, "out"), return_true_annotation=True, return_confidence=True, encode=config,
+    ), encode.CompositionEncoder)
+    files = {paths.stem_of(n): n for n in paths.names(at)}
+    kinds = "query_id string, predicted_annotation string, true_annotation string, distance double, confidence double"
+    rows = None
+    for stem, report in reports.items():
+        one = sinks.read_tsv(spark, report, kinds).select(F.lit(files[stem]).alias("file"), "query_id", "predicted_annotation", "true_annotation", F.round(F.abs("distance"), 3).alias("distance"), "confidence")
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 @query(f"SELECT query_pos, confidence FROM annotations WHERE {_ANNOTATED} AND confidence IS NOT NULL")
 def annotation_confidences(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.confidences(table(spark, folder, "annotations"))
