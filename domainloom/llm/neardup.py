@@ -46,8 +46,9 @@ def near_candidates(representatives: DataFrame, threshold: float = THRESHOLD, di
     sets = stage(token_sets(representatives, plan, dim=dim))
     exploded = sets.select("rep", F.explode("tokens").alias("token"))
     counts = stage(prefix.shared_tokens(exploded))
-    ordered = prefix.ordered_sets(exploded, counts)
-    probes = stage(prefix.adaptive_prefixes(ordered, plan.overlap, plan.overlap).join(sets.select("rep", "s0", "s1"), "rep"))
+    # sketches join while the sets lie by ``rep``
+    ordered = prefix.ordered_sets(exploded, counts).join(sets.select("rep", "s0", "s1"), "rep")
+    probes = stage(prefix.adaptive_prefixes(ordered, plan.overlap, plan.overlap))
     dropped(sets, counts)
     matched = probes.alias("p").join(probes.alias("q"), "token").where(
         (F.col("p.rep") < F.col("q.rep")) & sketch_close("p", "q", plan.sketch_limit)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROBE_COST, VERIFY_COST = 1.0, 4.0
 #: Tokens whose counts are sent to all executors (16 bytes each); more are joined by shuffle.
@@ -43,7 +44,7 @@ def ordered_sets(exploded: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def adaptive_prefixes(sets: DataFrame, need: int, most: int) -> DataFrame:
-    """``rep, level, token``: the prefix of the level that is cheapest for each set of ``sets (rep, shared)``.
+    """``rep, level, token``: the prefix of the level that is cheapest for each set of ``sets (rep, shared)``; further columns come along.
 
     Level l takes the first size - need + l tokens (those that no other set holds
     come first and cost nothing) and asks for l shared ones.  Its cost is one
@@ -69,8 +70,10 @@ def adaptive_prefixes(sets: DataFrame, need: int, most: int) -> DataFrame:
                 better = now < cost
                 cost, level, length = np.where(better, now, cost), np.where(better, l, level).astype(np.int32), np.where(better, size - need + l, length)
             within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            of_row = pa.array(np.repeat(rows, length))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep").take(pa.array(np.repeat(rows, length))), pa.array(np.repeat(level, length)), pa.array(token[np.repeat(start, length) + within])], names=["rep", "level", "token"]
+                [pa.array(np.repeat(level, length)), pa.array(token[np.repeat(start, length) + within]), *(batch.column(c).take(of_row) for c in others)], names=["level", "token", *others]
             )
 
-    return sets.select("rep", "shared").mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, level int, token bigint")
+    others = [c for c in sets.columns if c != "shared"]
+    return sets.mapInArrow(run, T.StructType([T.StructField("level", T.IntegerType()), T.StructField("token", T.LongType()), *(sets.schema[c] for c in others)]))
