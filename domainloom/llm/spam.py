@@ -69,6 +69,7 @@ _DASH = re.compile("[\u2010\u2011\u2012\u2212]")
 _CYRILLIC, _LATIN = re.compile("[\u0400-\u052f]"), re.compile("[a-zA-Z]")
 _MIXED = re.compile(r"\w*(?:[a-zA-Z][\u0400-\u052f]|[\u0400-\u052f][a-zA-Z])\w*")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+_JOINING = str.maketrans("", "", "-'’/")
 _LEET_SIGNS = frozenset("013457@$")
 #: A link by its scheme, or a host name of letters, digits and dots with an ending of letters, with or without a path.
 _LINK = re.compile(r"(?i)^(?:h(?:tt|xx)ps?://|www\.)\S|^[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,24}(?:[:/?#]\S*)?$")
@@ -129,27 +130,28 @@ def line_words(line: str, lexicon: dict[str, tuple[str, ...]]) -> tuple[list[str
     """
     words, links, after_number = [], 0, False
     tokens = line.split()
-    for token in tokens:
-        x = token.strip(_EDGE)
-        if x.isalpha():
-            y = x.lower()
-            if not (len(x) >= 12 and _RESIDUES.match(x)) and not (after_number and len(x) <= 3 and y not in lexicon):
-                words.append(y)
+    for token, x in zip(tokens, line.lower().split()):
+        if not x.isalpha():
+            x = x.strip(_EDGE)
+            if not x:
+                continue
+            if not x.isalpha():
+                after_number = x[-1].isdigit()
+                if "." in x or "/" in x:
+                    # a bare host name looks like an attribute, which is what it is on a line of code
+                    if _LINK.match(x.replace("[.]", ".")) and ("/" in x or x[:4] == "www." or not _CODE.search(line)):
+                        links += 1
+                        continue
+                if not _LEET_SIGNS.isdisjoint(x) and _LATIN.search(x):
+                    x = x.translate(_LEET)
+                if x.translate(_JOINING).isalpha() and not (len(x) >= 12 and _RESIDUES.match(token)):
+                    words.append(x)
+                continue
+        if after_number:
             after_number = False
-            continue
-        if not x:
-            continue
-        after_number = x[-1].isdigit()
-        if "." in x or "/" in x:
-            # a bare host name looks like an attribute, which is what it is on a line of code
-            if _LINK.match(x.replace("[.]", ".")) and ("/" in x or x[:4] in ("www.", "WWW.") or not _CODE.search(line)):
-                links += 1
+            if len(x) <= 3 and x not in lexicon:
                 continue
-        x = x.lower()
-        if not _LEET_SIGNS.isdisjoint(x) and _LATIN.search(x):
-            x = x.translate(_LEET)
-        letters = x.replace("-", "").replace("'", "").replace("’", "").replace("/", "")
-        if letters.isalpha() and not (len(x) >= 12 and _RESIDUES.match(token)):
+        if len(x) < 12 or not _RESIDUES.match(token.strip(_EDGE)):
             words.append(x)
     return words, links, len(tokens)
 
@@ -175,14 +177,14 @@ def assess(text: str | None, lexicon: dict[str, tuple[str, ...]]) -> tuple[str,
             words = [w for w in words if not _HAN.search(w)]
         else:
             han = 0
-        for w in words:
-            if w in lexicon:
-                known += 1
-                shown[w] += 1
+        rest = [w for w in words if w not in lexicon]
+        if len(rest) < len(words):
+            shown.update([w for w in words if w in lexicon])
+        known += len(words) - len(rest)
         counted += len(words)
         all_parts += parts + han // 2
         if words or links or han:
-            parsed.append((words, links, han, parts, line))
+            parsed.append((words, rest, links, han, parts, line))
     short = False
     if known < counted / 20:
         brief = [w for words, *_ in parsed for w in words if len(w) <= 3]
@@ -190,24 +192,26 @@ def assess(text: str | None, lexicon: dict[str, tuple[str, ...]]) -> tuple[str,
     n = in_links = function = loose = loose_parts = near = content = place = 0
     seen: Counter = Counter()
     last: dict[str, int] = {}
-    for words, links, han, parts, line in parsed:
+    for words, rest, links, han, parts, line in parsed:
         k = len(words)
-        rest = [w for w in words if w not in lexicon and not (short and len(w) <= 3)]
+        if short:
+            rest = [w for w in rest if len(w) > 3]
         f = k - len(rest)
-        most = max(Counter(rest).values()) if len(rest) > 2 else 0
+        # a word can only have three places where at least two are repeats
+        most = max(Counter(rest).values()) if len(set(rest)) < len(rest) - 1 else 0
         before = near
         for w in rest:
             place += 1
             if place - last.get(w, -WINDOW) <= WINDOW:
                 near += 1
             last[w] = place
-        repeats, ends = 2 * (near - before) >= len(rest), _END.search(line)
+        repeats = 2 * (near - before) >= len(rest)
         if f < LEAST_FUNCTION * k or not k:
-            is_loose = not (f and ends and not repeats)
+            is_loose = not (f and not repeats and _END.search(line))
         elif 10 * links >= k:
             is_loose = f < FUNCTION_BESIDE_LINKS * k
         else:
-            is_loose = repeats and f < (FUNCTION_OF_REPEATED if ends else FUNCTION_WITHOUT_END) * k
+            is_loose = repeats and f < FUNCTION_WITHOUT_END * k and (f < FUNCTION_OF_REPEATED * k or not _END.search(line))
         n += k + links + han // 2
         function += f + han // 4
         in_links += links
@@ -314,7 +318,7 @@ def robust_models(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray
     reaches the driver is one row per language of the lexicon.
     """
     grouped = rows.where(F.col("words") > 0).withColumn("language", F.explode(F.when(F.col("language") == "none", F.array(F.lit("*"))).otherwise(F.array("language", F.lit("*")))))
-    medians = grouped.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 10000).alias(c) for c in FEATURES]).collect()
+    medians = grouped.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(c) for c in FEATURES]).collect()
     if not medians:
         return {}
     texts = {r["language"]: r["n"] for r in medians}
@@ -326,12 +330,12 @@ def robust_models(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray
 
     middle = F.create_map(*[x for lang, m in centres.items() for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in m]))])
     away = grouped.withColumn("_m", F.element_at(middle, F.col("language")))
-    mads = away.groupBy("language").agg(*[F.percentile_approx(F.abs(F.col(c) - F.get("_m", F.lit(k))), 0.5, 10000).alias(c) for k, c in enumerate(FEATURES)]).collect()
+    mads = away.groupBy("language").agg(*[F.percentile_approx(F.abs(F.col(c) - F.get("_m", F.lit(k))), 0.5, 1000).alias(c) for k, c in enumerate(FEATURES)]).collect()
     model = averaged({r["language"]: (centres[r["language"]], np.diag(np.maximum(1.4826 * np.array([r[c] for c in FEATURES]), FLOOR) ** 2)) for r in mads})
     products = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     for _ in range(steps):
         at = _scored(grouped, model, False)
-        half = {r["language"]: r["h"] for r in at.groupBy("language").agg(F.percentile_approx("distance", 0.5, 10000).alias("h")).collect()}
+        half = {r["language"]: r["h"] for r in at.groupBy("language").agg(F.percentile_approx("distance", 0.5, 1000).alias("h")).collect()}
         limit = F.element_at(F.create_map(*[x for lang, h in half.items() for x in (F.lit(lang), F.lit(float(h)))]), F.col("language"))
         sums = at.where(F.col("distance") <= limit).groupBy("language").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in FEATURES],
