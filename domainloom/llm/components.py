@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import dropped, stage
@@ -74,13 +74,13 @@ def forest_of_integers(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> tu
             levels.append(last.where("kind = 1").select(F.col("p").alias("node"), F.col("q").alias("root")))
             break
         sides = live.select(F.col("x").alias("node"), F.col("y").alias("other"), "w", "a", "b").union(live.select("y", "x", "w", "a", "b"))
-        chosen = stage(sides.groupBy("node").agg(F.min(F.struct("w", "a", "b", "other")).alias("m")).select("node", F.col("m.other").alias("parent"), "m.a", "m.b", "m.w"))
+        least = sides.groupBy("node").agg(F.min(F.struct("w", "a", "b", "other")).alias("m")).select("node", F.col("m.other").alias("other"), "m.a", "m.b", "m.w")
+        # two components that chose each other chose the same edge; the lesser becomes the root
+        same = Window.partitionBy("a", "b")
+        is_root = (F.count(F.lit(1)).over(same) == 2) & (F.min("node").over(same) == F.col("node"))
+        chosen = stage(least.withColumn("parent", F.when(is_root, F.col("node")).otherwise(F.col("other"))).drop("other"))
         forest.append(chosen.select("a", "b", "w"))
-        back = chosen.select(F.col("node").alias("parent"), F.col("parent").alias("back"))
-        # of two components that chose each other, the lesser becomes the root
-        parents = chosen.join(back, "parent", "left").select(
-            "node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent")
-        )
+        parents = chosen.select("node", "parent")
         merged = _jump(parents)
         levels.append(merged)
         before = live
