@@ -140,6 +140,36 @@ def test_runs_end_to_end(spark, tmp_path):
     assert found == {"evaluated": 3, "accuracy": 1.0}
 
 
+def test_evaluation_on_the_driver_projects_in_steps():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    head = Head.init(16, 512, 8, seed=1)
+    x, q = rng.standard_normal((9000, 16)).astype(np.float32), rng.standard_normal((1500, 16)).astype(np.float32)
+    x[7000:8000] = x[:1000]  # ties go to the first
+    y, t = np.arange(9000) % 7, np.arange(1500) % 7
+    tracemalloc.start()
+    got = train.nearest_accuracy(head, (x, y), (q, t))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # one layer of all rows alone would take 37 MB, and several are needed at once
+    assert peak < 8 * len(x) * 512 * 2
+    nearest = np.round(head.forward(q).astype(np.float32) @ head.forward(x).astype(np.float32).T, 6).argmax(axis=1)
+    assert got == pytest.approx((y[nearest] == t).mean(), abs=2e-3)
+
+
+def test_the_driver_holds_single_precision_within_its_room(spark, monkeypatch):
+    tr, va, _ = clusters(spark)
+    tr, va = (d.withColumn("embedding", d["embedding"].cast("array<float>")) for d in (tr, va))
+    assert train.Vectors(tr, 10**9).whole[0].dtype == np.float32
+    made = []
+    init = train.Vectors.__init__
+    monkeypatch.setattr(train.Vectors, "__init__", lambda self, *a: init(self, *a) or made.append(self.parts))
+    monkeypatch.setattr(train, "driver_room", lambda _: 8 * 24 * 60)
+    train.fit(tr, va, config=train.TrainConfig(hidden_dim=16, output_dim=8, max_epochs=1, warmup_epochs=1, batch_size=32))
+    assert made[0] > 1
+
+
 def test_stream(spark, tmp_path):
     from domainloom.streaming.annotate import annotate_stream
 
