@@ -215,3 +215,47 @@ def test_train_run(spark, tmp_path, checkpoint):
     # the store names no classes, so they are named by their numbers
     assert result.classes == {10 * c: str(10 * c) for c in range(6)} and result.tests["test"] > 0.8
     assert (tmp_path / ("kept" if checkpoint else "out") / "projection_head.npz").exists() and (tmp_path / "out").exists() is not checkpoint
+
+
+def test_single_precision_stays_single():
+    rng = np.random.default_rng(0)
+    head = Head.init(5, 7, 4, dropout=0.2, seed=3)
+    x, y, proxies = rng.normal(size=(40, 5)), rng.integers(0, 6, 40), rng.normal(size=(6, 4))
+    e, cache = train.forward(head, x, np.random.default_rng(1))
+    double = train.proxy_anchor(e, y, proxies.copy(), 0.3, 32.0)
+    wide = train.backward(head, cache, double[1])
+    head = Head(*[getattr(Head.init(5, 7, 4, dropout=0.2, seed=3), k).astype(np.float32) for k in WEIGHTS], 0.2)
+    e, cache = train.forward(head, x.astype(np.float32), np.random.default_rng(1))
+    loss, ge, gp = train.proxy_anchor(e, y, proxies.astype(np.float32), 0.3, 32.0)
+    grads = train.backward(head, cache, ge)
+    train.clip(grads, 1e-3)
+    train.AdamW(1e-4).step({k: getattr(head, k) for k in grads}, grads, train.learning_rate(train.TrainConfig(), 20))
+    assert all(a.dtype == np.float32 for a in (e, ge, gp, *grads.values(), *(getattr(head, k) for k in WEIGHTS), head.forward(x.astype(np.float32))))
+    assert loss == pytest.approx(double[0], rel=1e-4) and np.allclose(ge, double[1], rtol=1e-3, atol=1e-4) and np.allclose(gp, double[2], rtol=1e-3, atol=1e-4)
+    grads = train.backward(Head(*[getattr(Head.init(5, 7, 4, dropout=0.2, seed=3), k).astype(np.float32) for k in WEIGHTS], 0.2), cache, ge)
+    assert all(np.allclose(grads[k], wide[k], rtol=1e-2, atol=1e-3) for k in wide)
+
+
+def test_stored_single_precision_is_trained_on_as_such(spark, monkeypatch):
+    tr, va, _ = clusters(spark)
+    tr, va = (d.withColumn("embedding", d["embedding"].cast("array<float>")) for d in (tr, va))
+    seen = set()
+    forward = train.forward
+    monkeypatch.setattr(train, "forward", lambda head, x, *a: seen.add((head.w1.dtype, x.dtype, (out := forward(head, x, *a))[0].dtype)) or out)
+    config = train.TrainConfig(hidden_dim=16, output_dim=8, max_epochs=2, warmup_epochs=1, batch_size=32)
+    result = train.fit(tr, va, config=config)
+    assert seen == {(np.dtype(np.float32),) * 3} and result.history[-1]["val_accuracy"] > 0.8 and result.head.w1.dtype == np.float64
+
+
+def test_nearest_accuracy_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(4)
+    head = Head.init(6, 8, 3, seed=1)
+    x, q = rng.standard_normal((700, 6)), rng.standard_normal((300, 6))
+    x[400:600] = x[:200]
+    x[600:] = x[:100] + 1e-8
+    y, t = np.arange(700), np.arange(300)
+    place = np.round(head.forward(q).astype(np.float32) @ head.forward(x).astype(np.float32).T, 6).argmax(axis=1)
+    for step in (64, 1024):
+        # each query's label is the row that is its nearest, so every one is a hit
+        assert train.nearest_accuracy(head, (x, y), (q, place), step) >= 0.99
+        assert train.nearest_accuracy(head, (x, y), (q, (place + 400) % 700), step) <= 0.01
